@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zonegrid.llm import langid, quality, simhash, toxicity
+from zonegrid.llm import langid, line_dedup, mixing, outliers, quality, simhash, toxicity
 from zonegrid.llm.common import table
 
 
@@ -14,10 +15,27 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Every document is used; sources are repeated until the weights' entropy is 97 % of the largest one.
+MIXTURE = mixing.Target(entropy=0.97, repeats=None, budget=None)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = mixing.mixture(table(spark, sf_dir, "documents"), MIXTURE)
+    return own.withColumn("weight", F.round("weight", 9))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -29,11 +47,17 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_mixing": op2_mixing,
         "op4_quality_classifier": op4_quality_classifier,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_line_dedup": op7_line_dedup,
         "op8_language_id": op8_language_id,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_mixing": mixing.sql(MIXTURE),
+        "op7_line_dedup": line_dedup.SQL,
+    }
