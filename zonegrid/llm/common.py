@@ -92,16 +92,20 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def labelled_sample(df: DataFrame, group: str, most: int, key: str = "doc_id", groups: int = 64) -> tuple[pa.Table, dict]:
-    """About `most` rows of each group of df by hash of the key, on the driver, and each group's count.
+def sampled(df: DataFrame, group: str, most: int, key: str = "doc_id", groups: int = 64) -> tuple[DataFrame, dict]:
+    """About `most` rows of each group of df by hash of the key, and each group's count.
 
     Groups of up to `most` rows come whole. At most the `groups` largest groups are taken (ties by
     value), so the sample is bounded whatever the size of df. Null groups and keys take no part.
     """
     df = df.where(F.col(group).isNotNull() & F.col(key).isNotNull())
     counts = {r[0]: r[1] for r in df.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()}
-    if not counts:
-        return df.limit(0).toArrow(), counts
     unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = reduce(lambda c, g: c.when(F.col(group) == F.lit(g), F.lit(min(1.0, most / counts[g]))), counts, F.when(F.lit(False), F.lit(0.0)))
-    return df.where(unit < share.otherwise(0.0)).orderBy(key).toArrow(), counts
+    return df.where(unit < share.otherwise(0.0)), counts
+
+
+def on_driver(sample: DataFrame) -> pa.Table:
+    """A bounded sample's rows, in an order that is the same in every run."""
+    got = sample.toArrow()
+    return got.sort_by([(c, "ascending") for c in ("doc_id", "text")])

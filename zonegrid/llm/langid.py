@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonegrid.llm.common import fold, labelled_sample, raw_texts, sums_by_text
+from zonegrid.llm.common import fold, on_driver, raw_texts, sampled, sums_by_text
 
 #: Bounds of the fit: texts a language, longest text (code points) among them, languages, bytes of the cost table.
 TEXTS, LONGEST, LANGUAGES, TABLE = 600, 50_000, 64, 24 << 20
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, texts: int = TEXTS, text: str = "text", lang: str = "la
     """
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     known = known.where(F.length("text").between(1, LONGEST))
-    sample, _ = labelled_sample(known, "lang", texts, groups=LANGUAGES)
+    sample = on_driver(sampled(known, "lang", texts, groups=LANGUAGES)[0])
     by: dict[str, list[bytes]] = {}
     for k, t in zip(sample["lang"].to_pylist(), sample["text"].to_pylist()):
         by.setdefault(k, []).append(t.encode())

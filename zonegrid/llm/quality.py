@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonegrid.llm.common import labelled_sample, raw_texts
+from zonegrid.llm.common import on_driver, raw_texts, sampled
 
 #: Bounds of the fit: labelled documents of either label, unlabelled ones, longest text (code points) among them.
 LABELLED, POOL, LONGEST = 2_000, 2_000, 50_000
@@ -159,11 +159,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     """
     own = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("double").alias("n_chars")).where(F.length("text").between(1, LONGEST))
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample, counts = labelled_sample(own.join(known, "doc_id"), "quality", labelled)
+    ids, counts = sampled(known, "quality", labelled)
+    sample = on_driver(own.join(F.broadcast(ids), "doc_id"))  # at most about 2 * labelled ids
     got = np.array(sample["quality"].to_pylist() if sample.num_rows else [])
     if not {0, 1} <= set(got):
         return None
-    free, _ = labelled_sample(own.join(known, "doc_id", "left_anti").withColumn("quality", F.lit(0)), "quality", pool)
+    others = max(1, docs.count() - sum(counts.values()))
+    share = F.pmod(F.xxhash64(F.lit("pool"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(pool / others)
+    free = on_driver(own.where(share).join(known, "doc_id", "left_anti"))
     weight = np.array([counts[q] / (got == q).sum() for q in got])
     return Model(sample, free, np.sqrt(weight / weight.mean()))
 
