@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonegrid.llm.common import fold, labelled_sample
+from zonegrid.llm.common import fold, on_driver, sampled
 
 #: Bounds of the fit: labelled documents of either label, longest text (code points) among them.
 LABELLED, LONGEST = 4_000, 50_000
@@ -28,7 +28,7 @@ ROWS, SIZE, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 8
 #: The contract's threshold; languages with fewer calibration documents of either label use it too.
 THRESHOLD, ENOUGH = 0.3, 20
 _WORD = re.compile(r"[^\W\d_]+")
-_HALF = ROWS // 2  # words have the first half of the rows, their beginnings the second
+_HALF = ROWS // 2  # words have the first half of the rows, their beginnings the second; a code holds both
 _PAD = ROWS  # a row of zeros, behind each text so that every window is whole
 _TAPS = sum(WIDTHS)
 #: Training documents that must hold a word for its row to be used.
@@ -39,33 +39,31 @@ _CACHED, _AT_ONCE = 200_000, 100_000
 
 
 class Words:
-    """Hashed rows of words; the words seen lately are remembered, up to a bound."""
+    """Codes of a text's words; the words seen lately are remembered, up to a bound."""
 
     def __init__(self) -> None:
-        self.rows: dict[str, tuple[int, int]] = {}
+        self.codes: dict[str, int] = {}
 
-    def __call__(self, text: str) -> list[tuple[int, int]]:
-        rows = self.rows
-        if len(rows) > _CACHED:
-            rows.clear()
+    def __call__(self, text: str) -> np.ndarray:
+        codes = self.codes
+        if len(codes) > _CACHED:
+            codes.clear()
         out = []
         for w in _WORD.findall(text.lower()):
-            r = rows.get(w)
-            if r is None:
-                r = rows[w] = zlib.crc32(w.encode()) % _HALF, _HALF + zlib.crc32(w[:4].encode()) % _HALF
-            out.append(r)
-        return out
+            c = codes.get(w)
+            if c is None:
+                c = codes[w] = zlib.crc32(w.encode()) % _HALF * _HALF + zlib.crc32(w[:4].encode()) % _HALF
+            out.append(c)
+        code = np.array(out, np.int64)
+        return np.stack([code // _HALF, _HALF + code % _HALF], axis=1).astype(np.int32)
 
 
-def _laid_out(texts: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.ndarray]:
+def _laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of consecutive texts, two pads behind each, and where each text starts."""
-    flat: list[tuple[int, int]] = []
-    starts = []
-    for rows in texts:
-        starts.append(len(flat))
-        flat.extend(rows)
-        flat.extend([(_PAD, _PAD)] * (max(WIDTHS) - 1))
-    return np.array(flat, np.int32).reshape(-1, 2), np.array(starts)
+    pads = np.full((max(WIDTHS) - 1, 2), _PAD, np.int32)
+    starts = np.cumsum([0, *(len(rows) + len(pads) for rows in texts)])[:-1]
+    flat = [x for rows in texts for x in (rows, pads)]
+    return np.concatenate(flat) if flat else np.zeros((0, 2), np.int32), starts
 
 
 def _responses(taps: np.ndarray) -> np.ndarray:
@@ -106,11 +104,11 @@ class Network:
         spread = np.zeros((2, ROWS + 1, 2))  # by label: documents that hold a word of the row; what one document holds is no evidence
         for i in fit:
             for side in (0, 1):
-                spread[int(y[i]), np.unique(np.array(rows[i], np.int32).reshape(-1, 2)[:, side]), side] += 1
+                spread[int(y[i]), np.unique(rows[i][:, side]), side] += 1
         rare = spread.sum(0) < SEEN
         wanted = spread.sum(0) * y[fit].mean()  # a row starts with how far it leans to a label, in standard deviations
         self.rows[:, 0] = ((spread[1] - wanted) / np.sqrt(wanted + 1)).max(1) / 4
-        rows = [list(map(tuple, np.where(rare[a := np.array(r, np.int32).reshape(-1, 2), [0, 1]], _PAD, a).tolist())) for r in rows]
+        rows = [np.where(rare[r, [0, 1]], _PAD, r).astype(np.int32) for r in rows]
         self.rows[rare.all(1)] = 0
         self.rows[_PAD] = 0
         self.taps[0, 0], self.out[0] = 1, 1  # by the first filter of width one
@@ -192,7 +190,7 @@ class Network:
             best = cuts[np.isclose(f1, np.max(f1))]
             self.thresholds[k] = float(best[np.abs(best - THRESHOLD).argmin()])
 
-    def logits(self, texts: list[list[tuple[int, int]]]) -> np.ndarray:
+    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
         if self.table is None:
             self.table = (self.rows @ self.taps).astype(np.float32)
         pairs, starts = _laid_out(texts)
@@ -225,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Network | N
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = docs.select("doc_id", "text", "lang").where(F.length("text") <= LONGEST)
-    sample, counts = labelled_sample(own.join(known, "doc_id"), "toxic", most)
+    ids, counts = sampled(known, "toxic", most)
+    sample = on_driver(own.join(F.broadcast(ids), "doc_id"))  # at most about 2 * most ids
     y = np.array(sample["toxic"].to_pylist() if sample.num_rows else [], np.float64)
     if len(set(y)) < 2:
         return None
