@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonegrid.llm import ann, langid, line_dedup, mixing, outliers, quality, simhash, toxicity
+from zonegrid.llm import ann, bpe_chunks, langid, line_dedup, mixing, outliers, quality, simhash, token_counts, toxicity
 from zonegrid.llm.common import table
 
 
@@ -24,6 +25,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("weight", F.round("weight", 9))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +49,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,11 +61,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_mixing": op2_mixing,
+        "op3_token_counts": op3_token_counts,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_quality_rules": op6_quality_rules,
         "op7_line_dedup": op7_line_dedup,
         "op8_language_id": op8_language_id,
+        "op9_bpe": op9_bpe,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
