@@ -2,25 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zonegrid.llm import simhash
+from zonegrid.llm import bpe_chunks, line_dedup, mixing, quality, simhash
+from zonegrid.llm.common import cut_lineage, table
+
+#: Every document is used; sources are repeated by a quarter at most, towards even shares.
+MIXTURE = mixing.Target(entropy=1.0, repeats=1.25)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts; it learns from their own labels."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def strip_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many sources share."""
+    return line_dedup.clean(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
     return simhash.keep_one(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture uses it."""
+    return mixing.mixed(docs, MIXTURE)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the documents' encodings, one row for each use."""
+    return bpe_chunks.digest(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
+    ("quality classifier", drop_low_quality),
+    ("line dedup", strip_boilerplate),
     ("simhash near-dedup", drop_near_duplicates),
+    ("mixing sources", mix_sources),
+    ("bpe", encode),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The stages applied to documents."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Learned classifiers and a tokenizer have no SQL.
