@@ -46,8 +46,8 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     return spread.where(F.col("n") > sites + band).select("line").unionByName(exact.select("line"))
 
 
-def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs with text cleaned, and the columns n_lines, n_removed and left_alone in a struct `dedup`.
+def without_boilerplate(docs: DataFrame, sites: int = SITES, counts_as: str = "dedup") -> DataFrame:
+    """docs with text cleaned, and a struct (n_lines, n_removed, left_alone) in a new column.
 
     Lines are compared without the white space around them; blank lines stay and count for neither.
     A document of which over half the characters in lines would go is left alone. A null text stays
@@ -66,7 +66,7 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     removed = F.when(F.col(found).isNotNull() & ~F.col(gone), F.size(F.filter(lines, bad)).cast("long")).otherwise(F.lit(0).cast("long"))
     clean = F.when(F.col(found).isNotNull() & ~F.col(gone), F.array_join(F.filter(lines, lambda x: ~bad(x)), "\n")).otherwise(F.col("text"))
     counts = F.struct(real.alias("n_lines"), removed.alias("n_removed"), F.col(gone).alias("left_alone"))
-    return df.withColumn("dedup", counts).withColumn("text", clean).select(*docs.columns, "dedup")
+    return df.withColumn(counts_as, counts).withColumn("text", clean).select(*docs.columns, counts_as)
 
 
 def report(docs: DataFrame, sites: int = SITES) -> DataFrame:
@@ -77,10 +77,10 @@ def report(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
 def clean(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """docs with text cleaned and n_chars brought up to date."""
-    spare = docs.columns
-    own = without_boilerplate(docs, sites)
-    changed = F.when(F.col("dedup.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return own.withColumn("n_chars", changed).select(*spare)
+    counts = spare_name(docs, "dedup")
+    own = without_boilerplate(docs, sites, counts)
+    changed = F.when(F.col(f"{counts}.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return own.withColumn("n_chars", changed).select(*docs.columns)
 
 
 SQL = f"""
