@@ -6,8 +6,9 @@ vector goes to the list of its nearest centroid and, near a boundary, to the nex
 graph, which is small enough for memory. A query looks at the lists whose centroid is not much
 farther than its nearest one, and each list is scored in full, in double precision.
 
-Equal vectors are indexed once and expanded at the end. Lists and their queries meet in blocks of
-bounded size, so neither a long list nor a popular one lands in one task.
+Equal vectors are indexed once and expanded at the end. Neighbouring lists meet their queries in
+blocks of bounded size, and longer lists in parts, so neither a long list nor a popular one lands in
+one task; a block gives each query its best few, however many of its lists the query looks at.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ CLOSURE, COPIES, EXACT = 1.1, 2, 2_000
 RATIO, PROBES = 1.13, 512
 #: Neighbours of a centroid in the graph, centroids opened at a time, width of the beam for a vector.
 DEGREE, OPENED, BEAM = 24, 8, 32
-#: Vectors and queries of a list that meet in one block.
-BLOCK, QUERIES = 4_096, 2_048
+#: Vectors of neighbouring lists, or of a part of a longer list, and queries that meet in one task.
+BLOCK, QUERIES = 16_384, 2_048
 _AT_ONCE = 512
 
 
@@ -158,16 +159,35 @@ def _best(k: int):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if left.num_rows and right.num_rows:
+            left = left.sort_by("list")
             x, ids = _matrix(left["v"]), np.asarray(left["id"])
+            lists, starts = np.unique(np.asarray(left["list"]), return_index=True)
+            ends = np.append(starts[1:], len(ids))
             q, asked = _matrix(right["v"]), np.asarray(right["id"])
-            wide = min(len(x), k + 12)  # a few more than wanted, as the product below rounds in another order
+            looked = right["lists"].combine_chunks()
+            row = np.repeat(np.arange(len(q)), np.diff(np.asarray(looked.offsets)))
+            wide = min(len(x), COPIES * (k + 6))  # a few more than wanted, as the products below round in another order
             parts = []
+            looks = np.zeros((len(q), len(lists)), bool)
+            at = np.searchsorted(lists, np.asarray(looked.flatten()))
+            here = (at < len(lists)) & (lists[np.minimum(at, len(lists) - 1)] == np.asarray(looked.flatten()))
+            looks[row[here], at[here]] = True
             for i in range(0, len(q), 256):
-                near = np.argpartition(-(q[i : i + 256] @ x.T), wide - 1, axis=1)[:, :wide]
-                exact = (q[i : i + 256, None, :] * x[near]).sum(2)
-                order = np.lexsort((ids[near], -exact), axis=1)[:, :k]
-                take = np.take_along_axis(near, order, 1)
-                parts.append((np.repeat(asked[i : i + 256], order.shape[1]), ids[take].ravel(), np.take_along_axis(exact, order, 1).ravel()))
+                some, near = looks[i : i + 256], np.full((len(q[i : i + 256]), len(x)), -np.inf)
+                for j in np.flatnonzero(some.any(axis=0)):
+                    own = np.flatnonzero(some[:, j])
+                    near[own, starts[j] : ends[j]] = q[i + own] @ x[starts[j] : ends[j]].T
+                best = np.argpartition(-near, wide - 1, axis=1)[:, :wide]
+                exact = (q[i : i + 256, None, :] * x[best]).sum(2)
+                exact[np.isinf(np.take_along_axis(near, best, 1))] = -np.inf
+                # A vector may be in two of the lists: its copies stand together, and the second goes.
+                order = np.lexsort((ids[best], -exact), axis=1)
+                named, exact = np.take_along_axis(ids[best], order, 1), np.take_along_axis(exact, order, 1)
+                fresh = np.isfinite(exact)
+                fresh[:, 1:] &= named[:, 1:] != named[:, :-1]
+                fresh &= np.cumsum(fresh, axis=1) <= k
+                r, c = np.nonzero(fresh)
+                parts.append((asked[i + r], named[r, c], exact[r, c]))
             found = [np.concatenate(c) for c in zip(*parts)]
         return pa.table({"query": found[0], "id": found[1], "score": found[2]})
 
@@ -208,13 +228,18 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     index = build(distinct, n, float(most))
     posted = cut_lineage(_listed(distinct, index, queries=False))
     asked = cut_lineage(_listed(distinct.where(F.col("asks").isNotNull()), index, queries=True))
-    blocks = posted.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    chunks = asked.groupBy("list").count().select("list", F.ceil(F.col("count") / QUERIES).alias("chunks"))
-    grid = cut_lineage(blocks.join(chunks, "list"))
+    # Lists in order share a block up to its size; a longer list has its own, in parts. At most CENTROIDS rows.
+    sizes = posted.groupBy("list").count()
+    ahead = F.coalesce(F.sum(F.least("count", F.lit(BLOCK))).over(Window.orderBy("list").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("block", F.when(F.col("count") > BLOCK, -1 - F.col("list")).otherwise(F.floor(ahead / BLOCK)))
+    place = cut_lineage(sizes.select("list", "block", F.ceil(F.col("count") / BLOCK).alias("parts")))
+    looks = asked.join(place, "list").groupBy("block", "id").agg(F.first("v").alias("v"), F.first("parts").alias("parts"), F.collect_list("list").alias("lists"))
+    looks = cut_lineage(looks)
+    chunks = cut_lineage(looks.groupBy("block").count().select("block", F.ceil(F.col("count") / QUERIES).alias("chunks")))
     zero = F.lit(0).cast("long")
-    left = posted.join(grid, "list").select("list", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"), "id", "v")
-    right = asked.join(grid, "list").select("list", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), "id", "v")
-    by = ["list", "block", "chunk"]
+    left = posted.join(place, "list").join(chunks, "block").select("block", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"), "list", "id", "v")
+    right = looks.join(chunks, "block").select("block", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), "lists", "id", "v")
+    by = ["block", "part", "chunk"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_best(k + 1), "query long, id long, score double").distinct()
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     found = cut_lineage(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place"))
