@@ -94,12 +94,13 @@ class Model:
             for context, _, c in sums:
                 np.add.at(totals, context, c)
             take = np.arange(width) if order < 2 else np.flatnonzero(totals > order)
-            if order > 1:
+            parent = np.full(width // n if order else 1, -1, np.int64)
+            parent[kept] = np.arange(len(kept))
+            if order > 1:  # as many as there is room for, the most frequent ones, whose own suffixes are kept
+                take = take[parent[take % (width // n)] >= 0]
                 take = np.sort(take[np.argsort(-totals[take], kind="stable")[: max(0, room - used) // (2 if order == 2 else 1)]])
             place = np.full(width, -1, np.int64)
             place[take] = np.arange(len(take))
-            parent = np.full(width // n if order else 1, -1, np.int64)
-            parent[kept] = np.arange(len(kept))
             back = parent[take % (width // n)] if order else np.zeros(1, np.int64)
             now = []
             for (context, s, c), p in zip(sums, shorter):
@@ -107,8 +108,6 @@ class Model:
                 at = place[context]
                 np.add.at(counts, (at[at >= 0], s[at >= 0]), c[at >= 0])
                 now.append(_blend(p[back] if order else p, counts))
-            if order > 1 and (back < 0).any():
-                raise AssertionError("a kept context's suffix is always kept")
             if order:
                 inside = place[np.arange(n**3) % width]
                 self.row = np.where(inside >= 0, inside + used, self.row).astype(np.int32)

@@ -185,7 +185,7 @@ def counted(text: Column, path: str, edits: Column | None = None) -> Column:
     or None for redactions(). Null texts are empty, null edits none, and null parts of an edit 0, 0, ''.
     """
 
-    def run(texts: pa.Array, given: pa.Array | None = None) -> pa.Array:
+    def tell(texts: pa.Array, given: pa.Array | None) -> pa.Array:
         own, out = _counter(path), []
         for i, t in enumerate(texts):
             text = t.as_py() or ""
@@ -197,9 +197,13 @@ def counted(text: Column, path: str, edits: Column | None = None) -> Column:
         columns = list(zip(*out)) if out else [[]] * 5
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], KIND.names)
 
-    if edits is None:
-        return F.arrow_udf(lambda texts: run(texts), KIND)(text)
-    return F.arrow_udf(run, KIND)(text, edits)
+    def redacted(texts: pa.Array) -> pa.Array:
+        return tell(texts, None)
+
+    def edited(texts: pa.Array, given: pa.Array) -> pa.Array:
+        return tell(texts, given)
+
+    return F.arrow_udf(redacted, KIND)(text) if edits is None else F.arrow_udf(edited, KIND)(text, edits)
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:

@@ -29,7 +29,7 @@ ROWS, SIZE, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 8
 THRESHOLD, ENOUGH = 0.3, 20
 _WORD = re.compile(r"[^\W\d_]+")
 _HALF = ROWS // 2  # words have the first half of the rows, their beginnings the second; a code holds both
-_PAD = ROWS  # a row of zeros, behind each text so that every window is whole
+_PAD = ROWS  # a row of zeros, behind each text so that no window reaches the next one
 _TAPS = sum(WIDTHS)
 #: Training documents that must hold a word for its row to be used.
 SEEN = 3
@@ -58,12 +58,16 @@ class Words:
         return np.stack([code // _HALF, _HALF + code % _HALF], axis=1).astype(np.int32)
 
 
-def _laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of consecutive texts, two pads behind each, and where each text starts."""
-    pads = np.full((max(WIDTHS) - 1, 2), _PAD, np.int32)
-    starts = np.cumsum([0, *(len(rows) + len(pads) for rows in texts)])[:-1]
+def _laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row pairs of consecutive texts, pads behind each, and where each text's windows start and end.
+
+    Windows start at words; an empty text has one, of pads.
+    """
+    pads = np.full((max(WIDTHS), 2), _PAD, np.int32)
+    sizes = np.array([len(rows) for rows in texts], np.int64)
+    starts = np.cumsum(sizes + len(pads)) - sizes - len(pads)
     flat = [x for rows in texts for x in (rows, pads)]
-    return np.concatenate(flat) if flat else np.zeros((0, 2), np.int32), starts
+    return np.concatenate(flat) if flat else np.zeros((0, 2), np.int32), starts, starts + np.maximum(sizes, 1)
 
 
 def _responses(taps: np.ndarray) -> np.ndarray:
@@ -128,10 +132,9 @@ class Network:
                 elif step - since >= PATIENCE:
                     break
             chosen = np.concatenate([g.choice(groups[0], batch * 2 // 3), g.choice(groups[1], batch // 3)])
-            pairs, starts = _laid_out([rows[i] for i in chosen])
+            pairs, starts, ends = _laid_out([rows[i] for i in chosen])
             x = self.rows[pairs].sum(1)
             r = _responses(x @ self.taps)
-            ends = np.append(starts[1:], len(pairs))
             at = np.stack([s + r[s:e].argmax(0) for s, e in zip(starts, ends)])
             top = np.take_along_axis(r, at, 0) + self.bias
             feature = np.maximum(top, 0)
@@ -193,10 +196,11 @@ class Network:
     def logits(self, texts: list[np.ndarray]) -> np.ndarray:
         if self.table is None:
             self.table = (self.rows @ self.taps).astype(np.float32)
-        pairs, starts = _laid_out(texts)
+        pairs, starts, ends = _laid_out(texts)
         if not len(starts):
             return np.zeros(0)
-        top = np.maximum.reduceat(_responses(self.table[pairs[:, 0]] + self.table[pairs[:, 1]]), starts, axis=0)
+        edges = np.stack([starts, ends], axis=1).ravel()
+        top = np.maximum.reduceat(_responses(self.table[pairs[:, 0]] + self.table[pairs[:, 1]]), edges, axis=0)[::2]
         return np.maximum(top + self.bias, 0) @ self.out + self.base
 
     def _calibrated(self, logit: np.ndarray) -> np.ndarray:
