@@ -31,12 +31,19 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 Edit = tuple[int, int, str]
 
 #: What the query edits: addresses of mail and of hosts, and numbers of nine digits or more.
-_REDACT = re.compile(r"(?P<mail>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<host>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<number>\b\d{9,}\b)")
+_MAIL, _NUMERIC = r"(?P<mail>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)", r"(?P<host>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<number>\b\d{9,}\b)"
+_REDACT, _REDACT_NUMERIC, _DIGIT = re.compile(f"{_MAIL}|{_NUMERIC}"), re.compile(_NUMERIC), re.compile(r"\d")
 
 
 def redactions(text: str) -> list[Edit]:
     """Edits (start, end, replacement) that hide personal data, in order, not overlapping."""
-    return [(m.start(), m.end(), f"[{m.lastgroup}]") for m in _REDACT.finditer(text)]
+    if "@" in text:
+        pattern = _REDACT
+    elif _DIGIT.search(text):
+        pattern = _REDACT_NUMERIC  # the same matches: none of the other kind begins without an @ behind it
+    else:
+        return []
+    return [(m.start(), m.end(), f"[{m.lastgroup}]") for m in pattern.finditer(text)]
 
 
 class Counter:
