@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     part but never name a component (it is null where all its ids are). Repeated rows stay.
     """
     rows = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")))
-    found = classes(rows)
+    found = cut_lineage(classes(rows))  # so that the last join stands alone, and Spark splits a crowded fingerprint's rows
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
