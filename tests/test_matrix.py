@@ -282,3 +282,15 @@ def test_extra_columns(spark):
     df = frame(spark, [("1", "1", "1", "x")], "Origin string, Destination string, V string, note string")
     assert ODMatrix.from_dataframe(df, IngestOptions(table_columns=["V"])).table_names == ("V",)
     assert kind(lambda: ODMatrix.from_dataframe(df, IngestOptions(table_columns=["V"], drop_extra_columns=False))) == "invalid_od"
+
+
+def test_parts_and_capabilities(spark, small):
+    from zonegrid import capabilities
+
+    assert ODMatrix.from_parts(*small.into_parts()) == small
+    assert kind(lambda: ODMatrix.from_parts(small.header, small.frame.drop("DIST"))) == "shape_mismatch"
+    assert capabilities.has_pandas_support() and capabilities.has_parquet_support() and not capabilities.has_parquet_support("no_such_engine")
+    if capabilities.has_polars_support():
+        assert len(small.to_polars()) == 4
+    pdf = small.to_pandas(include_zero_rows=True)
+    assert np.array_equal(ODMatrix.from_pandas(spark, pdf).stack(), small.stack())

@@ -74,6 +74,10 @@ class ODMatrix:
     def from_pandas(cls, spark: SparkSession, pdf: object, options: IngestOptions = IngestOptions()) -> ODMatrix:
         return cls(*ingest(spark.createDataFrame(pdf), options))
 
+    @classmethod
+    def from_polars(cls, spark: SparkSession, frame: object, options: IngestOptions = IngestOptions()) -> ODMatrix:
+        return cls(*ingest(spark.createDataFrame(frame.to_arrow()), options))
+
     @classmethod
     def from_csv(cls, spark: SparkSession, path: str, options: IngestOptions = IngestOptions(), **read: str) -> ODMatrix:
         return cls(*tabular.from_csv(spark, path, options, **read))
@@ -94,6 +98,16 @@ class ODMatrix:
         rows = [(int(i) + 1, int(j) + 1, *map(float, stack[:, i, j])) for i, j in zip(o, d)]
         return cls(own, spark.createDataFrame(rows, matfile.wide_schema(own.tables)))
 
+    @classmethod
+    def from_parts(cls, header: ODHeader, frame: DataFrame) -> ODMatrix:
+        """From a header and a wide relation that has its columns."""
+        if frame.columns != [*reshape.KEYS, *header.columns]:
+            raise od_error("shape_mismatch", f"columns {frame.columns} for tables {header.columns}")
+        return cls(header, frame)
+
+    def into_parts(self) -> tuple[ODHeader, DataFrame]:
+        return self.header, self.frame
+
     # What it is
 
     @property
@@ -329,6 +343,12 @@ class ODMatrix:
     def to_pandas(self, tables: Sequence[str | int] | None = None, **options: object):
         return self.wide(tables, **options).toPandas()
 
+    def to_polars(self, tables: Sequence[str | int] | None = None, **options: object):
+        """The wide relation as a polars frame, where polars is installed."""
+        import polars
+
+        return polars.from_arrow(self.wide(tables, **options).toArrow())
+
     def to_long_pandas(self, **options: object):
         return self.long(**options).toPandas()
 
