@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space, in Java's and DuckDB's regex syntax.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Ways in which the rows of a crowded key are split.
+SALTS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_small(rows: DataFrame, small: DataFrame, by: list[str], most: int, spread: Column, how: str = "inner") -> DataFrame:
+    """rows joined with a table that is small as a rule, without dealing rows out by a key that may be crowded.
+
+    small (written already) is counted: up to `most` rows are broadcast. A larger one is copied to SALTS
+    salts, and rows are dealt out by key and by a hash of `spread`.
+    """
+    if small.count() <= most:
+        return rows.join(F.broadcast(small), by, how)
+    salt = spare_name(rows, "salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copied = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copied, [*by, salt], how).drop(salt)
+
+
 def spare_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonegrid.llm.common import cut_lineage, spare_name
+from zonegrid.llm.common import cut_lineage, join_small, spare_name
 
 #: Sites on which a line is boilerplate; half-width of the band that is counted exactly, as a share and at least.
 SITES, BAND, LEAST_BAND = 10, 0.15, 2
 #: log2 of a sketch's registers: 1.6 % standard error at most.
 REGISTERS = 12
+#: Line hashes that are broadcast (some 20 bytes each); with more of them, lines are dealt out salted.
+HASHES = 1_000_000
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -41,8 +43,8 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     band = max(LEAST_BAND, round(BAND * sites))
     spread = rows.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(REGISTERS)).alias("sketch"))
     spread = cut_lineage(spread.select("line", F.hll_sketch_estimate("sketch").alias("n")).where(F.col("n") >= sites - band))
-    near = spread.where(F.col("n") <= sites + band)
-    exact = rows.join(near.select("line"), "line", "left_semi").distinct().groupBy("line").count().where(F.col("count") >= sites)
+    near = cut_lineage(spread.where(F.col("n") <= sites + band).select("line"))
+    exact = join_small(rows, near, ["line"], HASHES, F.col("site"), "left_semi").distinct().groupBy("line").count().where(F.col("count") >= sites)
     return spread.where(F.col("n") > sites + band).select("line").unionByName(exact.select("line"))
 
 
@@ -55,7 +57,7 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, counts_as: str = "d
     """
     key, found, lines, gone = (spare_name(docs, n) for n in ("doc_key", "doc_lines", "lines", "gone"))
     named = docs.withColumn(key, F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-    marked = _lines_of(named, F.col(key)).join(cut_lineage(boilerplate(docs, sites)), "line", "left_semi")
+    marked = join_small(_lines_of(named, F.col(key)), cut_lineage(boilerplate(docs, sites)), ["line"], HASHES, F.col(key), "left_semi")
     marks = cut_lineage(marked.groupBy(key).agg(F.collect_set("line").alias(found)))
     df = named.join(marks, key, "left").withColumn(lines, _lines(F.col("text")))
     size = lambda kept: F.aggregate(F.filter(lines, kept), F.lit(0).cast("long"), lambda n, x: n + F.length(F.btrim(x, F.lit(_BLANK))))
