@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonegrid.llm.common import WORD, SPACE, cut_lineage
+from zonegrid.llm.common import SPACE, WORD, cut_lineage, join_small
 
 #: Windows of words that count as repeated, and the base rules' limits.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -29,6 +29,8 @@ FLOOR = (0.05, 0.03, 0.15, 0.2, 0.06)
 #: Quantiles of chi-square with five degrees of freedom: 0.5, 0.975, and 1 - 1e-6 for rejection.
 MEDIAN, REWEIGHT, REJECT = 4.3515, 12.8325, 35.8882
 DIMENSIONS = len(FLOOR)
+#: Groups whose estimates (some 200 bytes each) are broadcast; with more of them, rows are dealt out salted.
+GROUPS = 20_000
 
 
 def _repeated_words(words: Column, n: Column) -> list[tuple[str, Column]]:
@@ -97,9 +99,13 @@ def _estimate(rows: DataFrame) -> DataFrame:
     return cut_lineage(sums.select(*_G, *[f"m{i}" for i in range(DIMENSIONS)], *[f"l{i}{j}" for i, j in pairs]))
 
 
+def _of_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return join_small(rows, groups, _G, GROUPS, F.struct(*_X))
+
+
 def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance to their group's estimate."""
-    df = rows.join(estimate, _G)
+    df = _of_group(rows, estimate)
     for i in range(DIMENSIONS):
         df = df.withColumn(f"z{i}", (F.col(_X[i]) - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"z{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
     return df.select(*rows.columns, sum((F.col(f"z{i}") ** 2 for i in range(DIMENSIONS)), F.lit(0.0)).alias("d2"))
@@ -123,6 +129,8 @@ def verdicts(counted: DataFrame) -> DataFrame:
     groups = pooled.join(langs, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("g2") == F.col("_g2")))
     size = groups.groupBy("g1", "g2").agg(F.sum("count").alias("size"))
     groups = cut_lineage(groups.join(size, _G).select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "g1", "g2", "size"))
+    if groups.count() <= GROUPS:
+        groups = F.broadcast(groups)  # else Spark splits a crowded group's rows: this join stands alone
     own = base.join(groups, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
     own = cut_lineage(own.select("*", *[x.alias(f"x{i}") for i, x in enumerate(_vector())]))
     rows = own.where(~F.col("base_failed") & (F.col("size") >= SMALL)).select(*_G, *_X)
@@ -131,17 +139,17 @@ def verdicts(counted: DataFrame) -> DataFrame:
     middle = _cut(each, F.col("x"), 0.5, 0.005, ["i"]).select(*_G, "i", ((F.col("bin") + 0.5) * 0.005).alias("m"))
     middle = cut_lineage(middle.groupBy(*_G).pivot("i", list(range(DIMENSIONS))).agg(F.first("m")))
     gaps = [F.abs(F.col(x) - F.col(str(i))).alias(x) for i, x in enumerate(_X)]
-    apart = rows.join(middle, _G).select(*_G, F.posexplode(F.array(*gaps)).alias("i", "x"))
+    apart = _of_group(rows, middle).select(*_G, F.posexplode(F.array(*gaps)).alias("i", "x"))
     spread = _cut(apart, F.col("x"), 0.5, 0.005, ["i"]).select(*_G, "i", ((F.col("bin") + 0.5) * 0.005 * 1.4826).alias("s"))
     spread = spread.groupBy(*_G).pivot("i", list(range(DIMENSIONS))).agg(F.first("s")).withColumnsRenamed({str(i): f"s{i}" for i in range(DIMENSIONS)})
     start = cut_lineage(middle.join(spread, _G))
     far = sum((((F.col(x) - F.col(str(i))) / F.sqrt(F.col(f"s{i}") ** 2 + FLOOR[i] ** 2)) ** 2 for i, x in enumerate(_X)), F.lit(0.0))
-    judged = rows.join(start, _G).select(*rows.columns, far.alias("d2"))
+    judged = _of_group(rows, start).select(*rows.columns, far.alias("d2"))
     for _ in range(STEPS + 1):
         cut = cut_lineage(_cut(judged, _log_distance(), SUBSET, width))
-        judged = _distances(rows, _estimate(judged.join(cut, _G).where(F.floor(_log_distance() / width) <= F.col("bin")).select(*_G, *_X)))
+        judged = _distances(rows, _estimate(_of_group(judged, cut).where(F.floor(_log_distance() / width) <= F.col("bin")).select(*_G, *_X)))
     scale = cut_lineage(_cut(judged, _log_distance(), 0.5, width).select(*_G, (F.exp((F.col("bin") + 0.5) * width) / MEDIAN).alias("scale")))
-    near = judged.join(scale, _G).where(F.col("d2") <= REWEIGHT * F.greatest("scale", F.lit(1.0))).select(*_G, *_X)
+    near = _of_group(judged, scale).where(F.col("d2") <= REWEIGHT * F.greatest("scale", F.lit(1.0))).select(*_G, *_X)
     final = _estimate(near)
     judged = _distances(own.where(F.col("size") >= SMALL), final)
     rest = own.where(F.coalesce(F.col("size") < SMALL, F.lit(True))).withColumn("d2", F.lit(None).cast("double"))
