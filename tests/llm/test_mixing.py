@@ -100,3 +100,11 @@ def test_sql(spark, sf, target):
     rows = mixing.mixture(spark.read.parquet(f"{sf}/documents.parquet"), target).collect()
     rounded = lambda r: (*r[:4], round(r[4], 8), *r[5:])
     assert sorted(map(rounded, map(tuple, rows)), key=repr) == sorted(map(rounded, c.execute(mixing.sql(target)).fetchall()), key=repr)
+
+
+def test_many_sources_give_the_same(docs, monkeypatch):
+    target = Target(entropy=0.9, repeats=None, budget=9_000, block=500)
+    wanted, mixed = sorted(map(tuple, mixing.mixture(docs, target).collect()), key=repr), sorted(map(tuple, mixing.mixed(docs, target).collect()), key=repr)
+    monkeypatch.setattr(mixing, "SOURCES", 0)
+    assert sorted(map(tuple, mixing.mixture(docs, target).collect()), key=repr) == wanted
+    assert sorted(map(tuple, mixing.mixed(docs, target).collect()), key=repr) == mixed

@@ -21,10 +21,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonegrid.llm.common import WORD, cut_lineage, spare_name
+from zonegrid.llm.common import WORD, cut_lineage, join_small, spare_name
 
 #: Share of the largest possible entropy to reach, epochs a source may take, tokens a block, documents a hash bucket.
 ENTROPY, REPEATS, BLOCK, BUCKET = 0.97, 4.0, 1_000_000, 10_000
+#: Sources whose plan (some 100 bytes each) is broadcast; with more of them, rows are dealt out salted.
+SOURCES = 100_000
 #: Halvings of the exponent's interval, and its end: at 1 sources keep their own shares.
 HALVINGS, HIGHEST = 40, 1.0
 SEED = "mix"
@@ -120,7 +122,7 @@ def _unit(order: Column) -> Column:
 def _used(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows (doc_id, site, n_tokens) by epoch, with `before`: tokens of the source that come before the use."""
     epochs = F.when(F.col("own") > 0, F.ceil(F.col("part") / F.col("own"))).otherwise(0).cast("long")
-    df = rows.join(plan, "site").withColumn("epochs", epochs).where("epochs > 0")
+    df = join_small(rows, plan, ["site"], SOURCES, F.col("tie")).withColumn("epochs", epochs).where("epochs > 0")
     df = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1))).drop("epochs")
     df = df.withColumn("order", _order(F.col("epoch"), F.col("doc_id")))
     df = df.withColumn("bucket", F.floor(_unit(F.col("order")) * F.col("buckets")))
@@ -161,15 +163,15 @@ def mixed(docs: DataFrame, target: Target) -> DataFrame:
     rows = cut_lineage(docs.select("doc_id", "source", _site(F.col("source")).alias("site"), tokens(F.col("text")).alias("n_tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("tie")))
     parts = plan(rows, target)
     last = parts.where("own > 0").withColumn("whole", F.floor(F.col("part") / F.col("own")))
-    partial = rows.drop("source").join(last.where("part > whole * own"), "site").withColumn("epoch", F.col("whole")).withColumn("order", _order(F.col("epoch"), F.col("doc_id"))).withColumn("bucket", F.floor(_unit(F.col("order")) * F.col("buckets")))
+    partial = join_small(rows.drop("source"), cut_lineage(last.where("part > whole * own")), ["site"], SOURCES, F.col("tie")).withColumn("epoch", F.col("whole")).withColumn("order", _order(F.col("epoch"), F.col("doc_id"))).withColumn("bucket", F.floor(_unit(F.col("order")) * F.col("buckets")))
     by = ["site", "bucket"]
     sums = partial.groupBy(*by).agg(F.sum("n_tokens").alias("n"), F.max(F.col("part") - F.col("whole") * F.col("own")).alias("rest"))
     run = Window.partitionBy("site").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     final = sums.withColumn("ahead", F.coalesce(F.sum("n").over(run), F.lit(0))).where("ahead < rest").groupBy("site").agg(F.max(F.struct("bucket", "ahead", "rest")).alias("b")).select("site", "b.*")
     inside = Window.partitionBy("site").orderBy("order", "n_tokens", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    edge = partial.select("site", "bucket", "order", "n_tokens", "tie").join(final, by).withColumn("before", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("before < rest").groupBy("site").agg(F.max("order").alias("edge"))
+    edge = join_small(partial.select("site", "bucket", "order", "n_tokens", "tie"), cut_lineage(final), by, SOURCES, F.col("tie")).withColumn("before", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("before < rest").groupBy("site").agg(F.max("order").alias("edge"))
     cuts = cut_lineage(last.join(edge, "site", "left").select(F.col("site").alias(site), F.col("whole").alias(n), F.col("edge").alias(order)))
-    df = docs.withColumn(site, _site(F.col("source"))).join(cuts, site)
+    df = join_small(docs.withColumn(site, _site(F.col("source"))), cuts, [site], SOURCES, F.struct("doc_id", "text"))
     also = F.coalesce((_order(F.col(n), F.col("doc_id")) <= F.col(order)).cast("long"), F.lit(0))
     times = F.col(n) + also
     return df.withColumn(n, times).where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
