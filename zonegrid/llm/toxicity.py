@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ _TAPS = sum(WIDTHS)
 SEEN = 3
 #: Steps between looks at the documents aside, and steps without gain after which training ends.
 CHECKED, PATIENCE = 50, 400
-_CACHED, _AT_ONCE = 200_000, 100_000
+#: Words that a process remembers, and words whose responses are held at a time.
+_CACHED, _AT_ONCE = 200_000, 50_000
 
 
 class Words:
@@ -193,12 +195,20 @@ class Network:
             best = cuts[np.isclose(f1, np.max(f1))]
             self.thresholds[k] = float(best[np.abs(best - THRESHOLD).argmin()])
 
-    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
+    def logits(self, texts: Iterable[np.ndarray]) -> np.ndarray:
         if self.table is None:
             self.table = (self.rows @ self.taps).astype(np.float32)
+        out, held, n = [np.zeros(0)], [], 0
+        for rows in texts:
+            held.append(rows)
+            n += len(rows)
+            if n >= _AT_ONCE:
+                out.append(self._logits(held))
+                held, n = [], 0
+        return np.concatenate([*out, self._logits(held)] if held else out)
+
+    def _logits(self, texts: list[np.ndarray]) -> np.ndarray:
         pairs, starts, ends = _laid_out(texts)
-        if not len(starts):
-            return np.zeros(0)
         edges = np.stack([starts, ends], axis=1).ravel()
         top = np.maximum.reduceat(_responses(self.table[pairs[:, 0]] + self.table[pairs[:, 1]]), edges, axis=0)[::2]
         return np.maximum(top + self.bias, 0) @ self.out + self.base
@@ -207,16 +217,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -30, 30)))
 
     def score(self, texts: pa.Array, words: Words) -> np.ndarray:
-        out, held, n = [], [], 0
-        for t in texts:
-            rows = words(t.as_py() or "")
-            held.append(rows)
-            n += len(rows)
-            if n >= _AT_ONCE:
-                out.append(self.logits(held))
-                held, n = [], 0
-        out.append(self.logits(held))
-        return self._calibrated(np.concatenate(out))
+        return self._calibrated(self.logits(words(t.as_py() or "") for t in texts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Network | None:
