@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from zonegrid.llm.common import WORD, cut_lineage, join_small, spare_name
 
 #: Share of the largest possible entropy to reach, epochs a source may take, tokens a block, documents a hash bucket.
-ENTROPY, REPEATS, BLOCK, BUCKET = 0.97, 4.0, 1_000_000, 10_000
+ENTROPY, REPEATS, BLOCK, BUCKET = 0.97, 4.0, 1_000_000, 1_000
 #: Sources whose plan (some 100 bytes each) is broadcast; with more of them, rows are dealt out salted.
 SOURCES = 100_000
+#: Sources whose shares the bisection holds on the driver.
+FEW = 10_000
 #: Halvings of the exponent's interval, and its end: at 1 sources keep their own shares.
 HALVINGS, HIGHEST = 40, 1.0
 SEED = "mix"
@@ -59,7 +61,9 @@ def bisect(holds: Callable[[float], bool], low: float, high: float) -> float:
 
 
 def exponent(shares: DataFrame, target: Target, budget: float | None) -> float:
-    """The exponent for shares (p): a number of sums over sources, so sources never come to the driver.
+    """The exponent for shares (p): a number of sums over sources.
+
+    Up to FEW sources' shares come to the driver for that; with more of them Spark adds up.
 
     The entropy falls as the exponent rises from 0. The most often repeated source is the one with the
     smallest share below exponent 1; its epochs are weight times budget over tokens, and fall as well.
@@ -68,7 +72,11 @@ def exponent(shares: DataFrame, target: Target, budget: float | None) -> float:
     if not n:
         return 1.0
 
+    few = [r["p"] for r in shares.select("p").collect()] if n <= FEW else None
+
     def sums(a: float) -> tuple[float, float]:
+        if few is not None:
+            return math.fsum(p**a for p in few), math.fsum(p**a * math.log(p) for p in few)
         power = F.pow("p", F.lit(a))
         return tuple(shares.agg(F.sum(power), F.sum(power * F.log("p"))).first())
 
