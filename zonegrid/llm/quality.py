@@ -79,8 +79,9 @@ class Logistic:
         w = np.ones(len(y)) if weight is None else weight
         w = (w / w.sum()).astype(np.float32)
         self.mean = w @ x
-        self.scale = 1 / np.sqrt(w @ (x - self.mean) ** 2 + 1e-4)
-        z = ((x - self.mean) * self.scale).astype(np.float32)
+        self.scale = 1 / np.sqrt(np.maximum(np.einsum("i,ij,ij->j", w, x, x) - self.mean**2, 0) + 1e-4)
+        z = np.subtract(x, self.mean, dtype=np.float32)  # the only copy of x
+        z *= self.scale.astype(np.float32)
         beta, m, v = np.zeros(x.shape[1] + 1, np.float32), 0.0, 0.0
         if start is not None:
             beta = np.append(start.beta / self.scale, start.bias + self.mean @ start.beta).astype(np.float32)
