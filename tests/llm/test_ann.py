@@ -77,6 +77,27 @@ def test_recall_on_the_table(spark):
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in wanted[q]}) / 20 for q in wanted]) >= 0.9
 
 
+def test_recall_with_many_lists(spark, monkeypatch):
+    """Vectors that fill the sphere evenly, in over 512 lists: near ones are spread over most of them."""
+    monkeypatch.setattr(ann, "EXACT", 100)
+    monkeypatch.setattr(ann, "LIST", 8)
+    rows = vectors(6000, 48, 6, norm=True)
+    got, wanted = found(ann.search(spark.createDataFrame(rows, SCHEMA), 20, 20)), slow(rows, 20, 20)
+    assert got.keys() == wanted.keys()
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in wanted[q]}) / 20 for q in wanted]) >= 0.9
+
+
+def test_lists_have_no_bound():
+    g = np.random.default_rng(8)
+    x = g.normal(size=(3000, 16))
+    index = ann.Index(x, 700, float(np.sqrt((x**2).sum(1)).max()))
+    for ratio, wide in ((1e6, 0), (1e6, 700), (1.2, 0)):
+        index.ratio, index.wide = ratio, wide
+        row, near = index.lists_of_queries(x[:300])
+        assert len(set(zip(row, near))) == len(row) and set(row) == set(range(300))
+        assert (len(row) == 300 * 700) == (ratio == 1e6)
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 0), (20, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (3, None, 0), (4, [0.0, -0.0], 0), (5, [nan, 1.0], 0), (6, [inf, 1.0], 0), (7, [None, 1.0], 0), (8, [], 0), (9, [1.0, 2.0, 3.0], 0), (None, [1.0, 1.0], 0), (11, [0.5, 0.5], None), (12, [-1.0, 0.0], 0)]

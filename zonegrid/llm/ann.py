@@ -3,8 +3,10 @@
 Inner products become distances by one more component that brings every vector to the largest norm.
 Centroids come from balanced two-means splits of a bounded sample, so lists are of even size. A
 vector goes to the list of its nearest centroid and, near a boundary, to the next. Centroids are searched by beam search on their neighbour
-graph, which is small enough for memory. A query looks at the lists whose centroid is not much
-farther than its nearest one, and each list is scored in full, in double precision.
+graph, which is small enough for memory. A query looks at all lists whose centroid is not farther than
+a ratio of its nearest one's distance, and each list is scored in full, in double precision. The ratio
+is the least at which the lists of a sample of the table's own queries hold the wanted share of their
+true neighbours, which are found by scoring every vector; how many lists that takes has no bound.
 
 Equal vectors are indexed once and expanded at the end. Neighbouring lists meet their queries in
 blocks of bounded size, and longer lists in parts, so neither a long list nor a popular one lands in
@@ -27,8 +29,10 @@ from zonegrid.llm.common import cut_lineage
 SAMPLE, CENTROIDS, LIST = 32_768, 4_096, 256
 #: Vectors go to lists up to CLOSURE times the least distance, COPIES at most; up to EXACT vectors make one list.
 CLOSURE, COPIES, EXACT = 1.1, 2, 2_000
-#: Queries look at lists up to RATIO times the least distance, PROBES at most.
-RATIO, PROBES = 1.13, 512
+#: Queries look at lists up to RATIO times the least distance, or farther, as the wanted RECALL over about SAMPLED queries asks.
+RATIO, RECALL, SAMPLED = 1.13, 0.95, 256
+#: Lists that a query finds by beam search; queries that look at as many or more are compared with all centroids.
+PROBES = 512
 #: Neighbours of a centroid in the graph, centroids opened at a time, width of the beam for a vector.
 DEGREE, OPENED, BEAM = 24, 8, 32
 #: Vectors of neighbouring lists, or of a part of a longer list, and queries that meet in one task.
@@ -116,6 +120,7 @@ class Index:
     def __init__(self, sample: np.ndarray, lists: int, norm: float) -> None:
         self.norm = norm
         self.graph = Graph(centroids(self.lifted(sample), lists))
+        self.ratio, self.wide = RATIO, 0
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(self.norm**2 - (x**2).sum(1), 0))[:, None]], 1)
@@ -126,13 +131,40 @@ class Index:
         row, at = np.nonzero((far <= CLOSURE * far[:, :1]) & np.isfinite(far))
         return row, near[row, at]
 
+    def _asking(self, x: np.ndarray) -> np.ndarray:
+        size = np.sqrt((x**2).sum(1, keepdims=True))
+        return np.concatenate([x / size * self.norm, np.zeros((len(x), 1))], 1)
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Of every query to every centroid."""
+        return np.sqrt(_squared(self._asking(x), self.graph.points))
+
+    def least(self, far: np.ndarray) -> np.ndarray:
+        """Each query's distance to its nearest centroid, and some where that is none."""
+        return np.maximum(far.min(1, keepdims=True), 1e-9 * self.norm)
+
     def lists_of_queries(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list): the lists that a query looks at."""
-        size = np.sqrt((x**2).sum(1, keepdims=True))
-        lifted = np.concatenate([x / size * self.norm, np.zeros((len(x), 1))], 1)
-        near, far = self.graph.nearest(lifted, PROBES)
-        row, at = np.nonzero((far <= RATIO * far[:, :1]) & np.isfinite(far))
-        return row, near[row, at]
+        rows, lists, left = [], [], np.arange(len(x))
+        if self.wide < PROBES < len(self.graph.points):
+            near, far = self.graph.nearest(self._asking(x), PROBES)
+            looks = far <= self.ratio * self.least(far)
+            left = np.flatnonzero(looks.all(axis=1))
+            looks[left] = False
+            row, at = np.nonzero(looks)
+            rows, lists = [row], [near[row, at]]
+        far = self.distances(x[left])
+        row, at = np.nonzero(far <= self.ratio * self.least(far))
+        return np.concatenate([*rows, left[row]]), np.concatenate([*lists, at])
+
+    def tune(self, x: np.ndarray, found: list[tuple[int, list[int]]]) -> None:
+        """Sets the ratio by a sample of queries and, for each of their true neighbours, (row of x, its lists)."""
+        far = self.distances(x)
+        least = self.least(far)
+        needed = np.sort([far[i, lists].min() / least[i, 0] for i, lists in found])
+        if len(needed):
+            self.ratio = max(RATIO, float(needed[math.ceil(RECALL * len(needed)) - 1]) * (1 + 1e-9))
+        self.wide = int((far <= self.ratio * least).sum(1).max())
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -155,6 +187,33 @@ def _listed(vectors: DataFrame, index: Index, queries: bool) -> DataFrame:
     return vectors.select("id", "v").mapInArrow(assign, "list long, id long, v array<double>")
 
 
+def _true_neighbours(posted: DataFrame, sample: pa.Table, k: int) -> list[tuple[int, list[int]]]:
+    """(row of sample, lists) for the k best of all vectors for each row; a task holds its own best only."""
+    held = posted.sparkSession.sparkContext.broadcast((np.asarray(sample["id"]), _matrix(sample["v"])))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, q = held.value
+        ids, lists, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = np.asarray(b.column("id"))
+            inner = np.where(asked[:, None] == own, -np.inf, q @ _matrix(b.column("v")).T)
+            ids, lists = (np.concatenate([old, np.broadcast_to(new, inner.shape)], 1) for old, new in ((ids, own), (lists, np.asarray(b.column("list")))))
+            scores = np.concatenate([scores, inner], 1)
+            wide = min(scores.shape[1], COPIES * k)  # a vector is in COPIES lists at most
+            at = np.argpartition(-scores, wide - 1, axis=1)[:, :wide]
+            ids, lists, scores = (np.take_along_axis(c, at, 1) for c in (ids, lists, scores))
+        row, at = np.nonzero(np.isfinite(scores))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (row.astype(np.int64), ids[row, at], lists[row, at], scores[row, at])], ["row", "id", "list", "score"])
+
+    found = posted.select("list", "id", "v").mapInArrow(score, "row long, id long, list long, score double")
+    found = found.groupBy("row", "id").agg(F.max("score").alias("score"), F.collect_list("list").alias("lists"))
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "id")
+    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("row", "lists")
+    return [(r["row"], r["lists"]) for r in found.collect()]
+
+
 def _best(k: int):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -199,11 +258,14 @@ def _sound(v: Column) -> Column:
     return v.isNotNull() & fine & F.exists(v, lambda x: x != 0)
 
 
+def _unit(seed: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 def build(distinct: DataFrame, n: int, norm: float) -> Index:
     """An index fitted on a sample of about SAMPLE distinct vectors, by hash of the id."""
     lists = 1 if n <= EXACT else min(CENTROIDS, max(2, round(n / LIST)))
-    unit = F.pmod(F.xxhash64(F.lit("ann"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = distinct.where(unit < F.lit(min(1.0, SAMPLE / n))).select("id", "v").toArrow().sort_by("id") if lists > 1 else None
+    sample = distinct.where(_unit("ann") < F.lit(min(1.0, SAMPLE / n))).select("id", "v").toArrow().sort_by("id") if lists > 1 else None
     if sample is None or not sample.num_rows:
         sample = pa.table({"v": distinct.limit(1).select("v").toArrow()["v"]})
     return Index(_matrix(sample["v"]), lists, norm)
@@ -224,10 +286,15 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     rows = rows.where(F.size("v") == sizes[0])
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     distinct = cut_lineage(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.pmod("id", F.lit(every)) == 0, F.col("id"))).alias("asks")))
-    n, most = distinct.agg(F.count(F.lit(1)), F.max(norm)).first()
+    n, most, asking = distinct.agg(F.count(F.lit(1)), F.max(norm), F.count("asks")).first()
     index = build(distinct, n, float(most))
     posted = cut_lineage(_listed(distinct, index, queries=False))
-    asked = cut_lineage(_listed(distinct.where(F.col("asks").isNotNull()), index, queries=True))
+    queries = distinct.where(F.col("asks").isNotNull())
+    if len(index.graph.points) > 1 and asking:
+        sample = queries.where(_unit("tune") < F.lit(min(1.0, SAMPLED / asking))).select("id", "v").toArrow().sort_by("id")
+        if sample.num_rows:
+            index.tune(_matrix(sample["v"]), _true_neighbours(posted, sample, k))
+    asked = cut_lineage(_listed(queries, index, queries=True))
     # Lists in order share a block up to its size; a longer list has its own, in parts. At most CENTROIDS rows.
     sizes = posted.groupBy("list").count()
     ahead = F.coalesce(F.sum(F.least("count", F.lit(BLOCK))).over(Window.orderBy("list").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
