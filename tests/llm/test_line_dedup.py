@@ -54,6 +54,15 @@ def test_copies_are_left_alone(spark):
     assert got[99]["text"] == "a longer text of its own\nand a good deal more of it" and got[99]["n_chars"] == len(got[99]["text"])
 
 
+def test_mostly_boilerplate_is_cleaned(spark):
+    shared = "a long passage that very many sites repeat " * 12
+    rows = [(i, f"own {i}\n \n{shared}\n  {shared}\nsigned {i}", "en", f"s{i}", 1) for i in range(20)] + [(99, f"{shared}\n\n{shared}", "en", "s1", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in line_dedup.clean(docs).collect()}
+    assert all(got[i]["text"] == f"own {i}\n \nsigned {i}" and got[i]["n_chars"] == len(got[i]["text"]) for i in range(20))
+    assert got[99]["text"] == rows[20][1] and got[99]["n_chars"] == 2
+
+
 def test_sql(spark, sf):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")

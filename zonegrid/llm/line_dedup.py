@@ -3,8 +3,9 @@
 Each line hash gets a HyperLogLog sketch of the sites that it occurs on; sketches merge in partial
 aggregation, so a line on millions of pages moves one sketch a task. Lines clearly under the
 threshold stay, lines clearly over it are boilerplate, and lines whose estimate is near it get an
-exact distinct count. Boilerplate lines go from every document, but for documents that would lose
-over half of their text: those are copies as a whole, and are left for document dedup.
+exact distinct count. clean() takes boilerplate lines from every document that has any other line;
+documents of nothing else are copies as a whole, and are left for document dedup. report() follows
+its SQL, which leaves every document alone that would lose over half of its text.
 """
 
 from __future__ import annotations
@@ -48,12 +49,13 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     return spread.where(F.col("n") > sites + band).select("line").unionByName(exact.select("line"))
 
 
-def without_boilerplate(docs: DataFrame, sites: int = SITES, counts_as: str = "dedup") -> DataFrame:
+def without_boilerplate(docs: DataFrame, sites: int = SITES, counts_as: str = "dedup", copies_only: bool = False) -> DataFrame:
     """docs with text cleaned, and a struct (n_lines, n_removed, left_alone) in a new column.
 
     Lines are compared without the white space around them; blank lines stay and count for neither.
-    A document of which over half the characters in lines would go is left alone. A null text stays
-    null, with no lines; repeated rows and null ids are cleaned like any other.
+    A document of which over half the characters in lines would go is left alone; with copies_only, one
+    that has no line but boilerplate. A null text stays null, with no lines; repeated rows and null ids
+    are cleaned like any other.
     """
     key, found, lines, gone = (spare_name(docs, n) for n in ("doc_key", "doc_lines", "lines", "gone"))
     named = docs.withColumn(key, F.coalesce(F.col("doc_id"), F.xxhash64("text")))
@@ -62,7 +64,8 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, counts_as: str = "d
     df = named.join(marks, key, "left").withColumn(lines, _lines(F.col("text")))
     size = lambda kept: F.aggregate(F.filter(lines, kept), F.lit(0).cast("long"), lambda n, x: n + F.length(F.btrim(x, F.lit(_BLANK))))
     bad = lambda x: F.coalesce(F.array_contains(F.col(found), _hash(x)), F.lit(False))
-    over = F.when(F.col(found).isNotNull(), 2 * size(bad) > size(lambda x: F.lit(True))).otherwise(F.lit(False))
+    much = ~F.exists(lines, lambda x: _hash(x).isNotNull() & ~bad(x)) if copies_only else 2 * size(bad) > size(lambda x: F.lit(True))
+    over = F.when(F.col(found).isNotNull(), much).otherwise(F.lit(False))
     df = df.withColumn(gone, over)
     real = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(_BLANK)) != "")).cast("long")
     removed = F.when(F.col(found).isNotNull() & ~F.col(gone), F.size(F.filter(lines, bad)).cast("long")).otherwise(F.lit(0).cast("long"))
@@ -78,9 +81,9 @@ def report(docs: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def clean(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """docs with text cleaned and n_chars brought up to date."""
+    """docs with text cleaned, but for copies as a whole, and n_chars brought up to date."""
     counts = spare_name(docs, "dedup")
-    own = without_boilerplate(docs, sites, counts)
+    own = without_boilerplate(docs, sites, counts, copies_only=True)
     changed = F.when(F.col(f"{counts}.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return own.withColumn("n_chars", changed).select(*docs.columns)
 
