@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
 Inner products become distances by one more component that brings every vector to the largest norm.
-Centroids come from balanced two-means splits of a bounded sample, so lists are of even size. A
-vector goes to the list of its nearest centroid and, near a boundary, to the next. Centroids are searched by beam search on their neighbour
-graph, which is small enough for memory. A query looks at all lists whose centroid is not farther than
-a ratio of its nearest one's distance, and each list is scored in full, in double precision. The ratio
-is the least at which the lists of a sample of the table's own queries hold the wanted share of their
-true neighbours, which are found by scoring every vector; how many lists that takes has no bound.
-
-Equal vectors are indexed once and expanded at the end. Neighbouring lists meet their queries in
-blocks of bounded size, and longer lists in parts, so neither a long list nor a popular one lands in
-one task; a block gives each query its best few, however many of its lists the query looks at.
+Centroids come from balanced two-means splits of a bounded sample, so lists are of even size; their
+number grows with the square root of the table. A vector goes to the list of its nearest centroid.
+Vectors near a boundary (the BOUNDARY share of them whose nearest centroids are most nearly equally
+far) go to the next lists too. Centroids are searched on their neighbour graph: a beam of fixed width
+finds a query's nearest centroid, and from there the search opens the centroids not farther than a
+ratio of that distance, and no others. Their lists are scored in full, in double precision.
+
+The ratio is the least at which the lists of a sample of the table's own queries hold the wanted share
+of their true neighbours, which are found by scoring every vector; how many lists that takes has no
+bound. Clustered vectors need few lists; vectors that fill the sphere evenly need most of them at any size.
+
+Equal vectors are indexed once and expanded at the end. Neighbouring lists form blocks of bounded size,
+and longer lists several blocks. A block's vectors move once, are held, and its queries stream past them,
+so memory is bounded by the block, and a popular block is split by queries beyond QUERIES.
 """
 
 from __future__ import annotations
@@ -23,21 +27,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonegrid.llm.common import cut_lineage
+from zonegrid.llm.common import cut_lineage, join_crowded, join_small
 
-#: Bounds of the fit: vectors in the sample, centroids; vectors a list should hold.
-SAMPLE, CENTROIDS, LIST = 32_768, 4_096, 256
-#: Vectors go to lists up to CLOSURE times the least distance, COPIES at most; up to EXACT vectors make one list.
-CLOSURE, COPIES, EXACT = 1.1, 2, 2_000
-#: Queries look at lists up to RATIO times the least distance, or farther, as the wanted RECALL over about SAMPLED queries asks.
-RATIO, RECALL, SAMPLED = 1.13, 0.95, 256
-#: Lists that a query finds by beam search; queries that look at as many or more are compared with all centroids.
-PROBES = 512
-#: Neighbours of a centroid in the graph, centroids opened at a time, width of the beam for a vector.
-DEGREE, OPENED, BEAM = 24, 8, 32
-#: Vectors of neighbouring lists, or of a part of a longer list, and queries that meet in one task.
-BLOCK, QUERIES = 16_384, 2_048
-_AT_ONCE = 512
+#: Lists per square root of the vectors, most centroids (some 700 bytes each at 64 components), sampled vectors a centroid.
+SCALE, CENTROIDS, SAMPLE = 4.0, 65_536, 16
+#: Share of vectors that count as near a boundary, and lists that such a vector may go to.
+BOUNDARY, COPIES = 0.25, 3
+#: Share of true neighbours that the lists of about SAMPLED of the table's queries must hold.
+RECALL, SAMPLED = 0.94, 256
+#: Neighbours of a centroid in the graph (and of those that it is a neighbour of), centroids opened at a time, width of the beam.
+DEGREE, BACK, OPENED, BEAM = 24, 16, 8, 32
+#: Most and fewest vectors of a block, blocks for each core, and queries that stream past one copy of a block.
+BLOCK, LEAST, SPREAD, QUERIES = 16_384, 128, 4, 65_536
+_AT_ONCE, _ASKED, _PAIRS = 512, 256, 32_768
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,6 +67,31 @@ def centroids(sample: np.ndarray, lists: int, seed: int = 5) -> np.ndarray:
     return np.array(out)
 
 
+def _neighbours(points: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's nearest others, nearest first, and their squared distances."""
+    near, far = np.zeros((len(points), many), np.int64), np.zeros((len(points), many))
+    for i in range(0, len(points) if many else 0, 256):
+        d = _squared(points[i : i + 256], points)
+        d[np.arange(len(d)), np.arange(i, i + len(d))] = -1.0
+        some = np.argpartition(d, many, axis=1)[:, : many + 1]
+        d = np.take_along_axis(d, some, 1)
+        order = np.argsort(d, axis=1, kind="stable")[:, 1:]
+        near[i : i + 256], far[i : i + 256] = np.take_along_axis(some, order, 1), np.take_along_axis(d, order, 1)
+    return near, far
+
+
+def _reversed(near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """For each point the BACK nearest of those that have it as a neighbour; itself where there are fewer."""
+    n, many = near.shape
+    out = np.repeat(np.arange(n)[:, None], BACK, axis=1)
+    order = np.lexsort((far.ravel(), near.ravel()))
+    target, source = near.ravel()[order], np.repeat(np.arange(n), many)[order]
+    place = np.arange(len(target)) - np.searchsorted(target, target)
+    kept = place < BACK
+    out[target[kept], place[kept]] = source[kept]
+    return out
+
+
 class Graph:
     """Centroids with each one's nearest neighbours and a few random ones, searched by beam."""
 
@@ -72,14 +99,13 @@ class Graph:
         self.points = points
         n = len(points)
         g = np.random.default_rng(seed)
-        near = min(DEGREE, n - 1)
-        links = [np.argsort(_squared(points[i : i + 256], points), axis=1, kind="stable")[:, 1 : near + 1] for i in range(0, n, 256)]
-        self.links = np.concatenate([np.concatenate(links), g.integers(0, n, (n, 4))], axis=1)
+        near, far = _neighbours(points, min(DEGREE, n - 1))
+        self.links = np.concatenate([near, _reversed(near, far), g.integers(0, n, (n, 4))], axis=1).astype(np.int32)
         self.entries = np.unique(np.concatenate([g.integers(0, n, min(n, 31)), [_squared(points, points.mean(0)[None])[:, 0].argmin()]]))
 
     def nearest(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids near each row of x, nearest first, and their distances (infinite where there are fewer)."""
-        n, rows, width = len(self.points), np.arange(len(x))[:, None], min(max(BEAM, want), len(self.points))
+        """Up to `want` (BEAM at most) centroids near each row of x, nearest first, and their distances (infinite where there are fewer)."""
+        n, rows, width = len(self.points), np.arange(len(x))[:, None], min(BEAM, len(self.points))
         norms, own = (self.points**2).sum(1), (x**2).sum(1)[:, None]
         start = self.entries[:width]
         beam, far = np.full((len(x), width), n), np.full((len(x), width), np.inf)
@@ -113,14 +139,47 @@ class Graph:
         order = np.argsort(far, axis=1, kind="stable")[:, :want]
         return beam[rows, order], np.sqrt(far[rows, order])
 
+    def within(self, x: np.ndarray, ratio: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid): the centroids found not farther than ratio times the nearest one's distance, which counts as `least` or more."""
+        n = len(self.points)
+        near, far = self.nearest(x, BEAM)
+        reach = ratio * np.maximum(far[:, :1], least)
+        norms, own = (self.points**2).sum(1), (x**2).sum(1)
+        d = np.full((len(x), n + 1), np.inf)
+        np.put_along_axis(d, near, far, 1)
+        d = d[:, :n]
+        seen, opened = np.isfinite(d), np.zeros((len(x), n), bool)
+        while True:
+            row, node = np.nonzero((d <= reach) & ~opened)
+            if not len(row):
+                break
+            opened[row, node] = True
+            fresh = np.zeros((len(x), n), bool)
+            fresh[row[:, None], self.links[node]] = True
+            fresh &= ~seen
+            row, node = np.nonzero(fresh)
+            seen |= fresh
+            if 8 * len(row) > fresh.size:
+                inner = (x @ self.points.T)[row, node]
+            else:
+                inner = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[row[j : j + _PAIRS]], self.points[node[j : j + _PAIRS]]) for j in range(0, len(row), _PAIRS))])
+            d[row, node] = np.sqrt(np.maximum(own[row] + norms[node] - 2 * inner, 0))
+        return np.nonzero(d <= reach)
+
 
 class Index:
-    """What assigns vectors and queries to lists."""
+    """What assigns vectors and queries to lists, and lists to blocks."""
 
     def __init__(self, sample: np.ndarray, lists: int, norm: float) -> None:
         self.norm = norm
-        self.graph = Graph(centroids(self.lifted(sample), lists))
-        self.ratio, self.wide = RATIO, 0
+        x = self.lifted(sample)
+        self.graph = Graph(centroids(x, lists))
+        _, far = self.graph.nearest(x, 2)
+        gap = far[:, 1] / np.maximum(far[:, 0], 1e-12 * max(norm, 1e-300)) if far.shape[1] > 1 else np.full(len(x), np.inf)
+        self.closure = float(np.quantile(gap, BOUNDARY)) if np.isfinite(gap).all() else 1.0
+        self.ratio = 1.0
+        self.first, self.parts = np.zeros(len(self.graph.points), np.int64), np.ones(len(self.graph.points), np.int64)
+        self.sizes, self.wanted = np.ones(len(self.graph.points), np.int64), 0
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(self.norm**2 - (x**2).sum(1), 0))[:, None]], 1)
@@ -128,43 +187,60 @@ class Index:
     def lists_of_vectors(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list): the nearest list and, near a boundary, the next ones."""
         near, far = self.graph.nearest(self.lifted(x), COPIES)
-        row, at = np.nonzero((far <= CLOSURE * far[:, :1]) & np.isfinite(far))
+        looks = (far <= self.closure * far[:, :1]) & np.isfinite(far)
+        looks[:, 0] = True
+        row, at = np.nonzero(looks)
         return row, near[row, at]
 
     def _asking(self, x: np.ndarray) -> np.ndarray:
         size = np.sqrt((x**2).sum(1, keepdims=True))
         return np.concatenate([x / size * self.norm, np.zeros((len(x), 1))], 1)
 
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        """Of every query to every centroid."""
-        return np.sqrt(_squared(self._asking(x), self.graph.points))
-
-    def least(self, far: np.ndarray) -> np.ndarray:
-        """Each query's distance to its nearest centroid, and some where that is none."""
-        return np.maximum(far.min(1, keepdims=True), 1e-9 * self.norm)
-
     def lists_of_queries(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): the lists that a query looks at."""
-        rows, lists, left = [], [], np.arange(len(x))
-        if self.wide < PROBES < len(self.graph.points):
-            near, far = self.graph.nearest(self._asking(x), PROBES)
-            looks = far <= self.ratio * self.least(far)
-            left = np.flatnonzero(looks.all(axis=1))
-            looks[left] = False
-            row, at = np.nonzero(looks)
-            rows, lists = [row], [near[row, at]]
-        far = self.distances(x[left])
-        row, at = np.nonzero(far <= self.ratio * self.least(far))
-        return np.concatenate([*rows, left[row]]), np.concatenate([*lists, at])
+        """(row, list): the lists that a query looks at; beyond the ratio where those hold too few vectors to choose from."""
+        row, near = self.graph.within(self._asking(x), self.ratio, 1e-9 * self.norm)
+        held = np.bincount(row, self.sizes[near], len(x))
+        few = np.flatnonzero(held < min(self.wanted, self.sizes.sum()))
+        if not len(few):
+            return row, near
+        order = np.argsort(_squared(self._asking(x[few]), self.graph.points), axis=1, kind="stable")
+        ahead = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+        more, at = np.nonzero(ahead < self.wanted)
+        both = np.unique(np.concatenate([np.stack([row, near], 1), np.stack([few[more], order[more, at]], 1)]), axis=0)
+        return both[:, 0], both[:, 1]
 
     def tune(self, x: np.ndarray, found: list[tuple[int, list[int]]]) -> None:
-        """Sets the ratio by a sample of queries and, for each of their true neighbours, (row of x, its lists)."""
-        far = self.distances(x)
-        least = self.least(far)
-        needed = np.sort([far[i, lists].min() / least[i, 0] for i, lists in found])
-        if len(needed):
-            self.ratio = max(RATIO, float(needed[math.ceil(RECALL * len(needed)) - 1]) * (1 + 1e-9))
-        self.wide = int((far <= self.ratio * least).sum(1).max())
+        """Sets the ratio by a sample of queries and, for each of their true neighbours, (row of x, its lists).
+
+        The first ratio is by exact distances; it grows until the lists that the graph search finds hold
+        the wanted share too.
+        """
+        far = np.sqrt(_squared(self._asking(x), self.graph.points))
+        least = np.maximum(far.min(1), 1e-9 * self.norm)
+        needed = np.sort([far[i, lists].min() / least[i] for i, lists in found])
+        if not len(needed):
+            return
+        self.ratio = max(1.0, float(needed[math.ceil(RECALL * len(needed)) - 1])) * (1 + 1e-9)
+        while True:
+            row, near = self.lists_of_queries(x)
+            looks = np.zeros(far.shape, bool)
+            looks[row, near] = True
+            if looks.all() or np.mean([looks[i, lists].any() for i, lists in found]) >= RECALL:
+                return
+            self.ratio *= 1.01
+
+    def place(self, most: int) -> None:
+        """Deals lists to blocks of about `most` vectors; a longer list has several blocks of its own."""
+        block, held = 0, 0
+        for i, n in enumerate(self.sizes):
+            if n > most:
+                block += held > 0
+                self.first[i], self.parts[i], held = block, -(-n // most), 0
+                block += self.parts[i]
+                continue
+            if held + n > most:
+                block, held = block + 1, 0
+            self.first[i], held = block, held + n
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -173,20 +249,42 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _listed(vectors: DataFrame, index: Index, queries: bool) -> DataFrame:
+def _listed(vectors: DataFrame, index: Index) -> DataFrame:
     held = vectors.sparkSession.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, _AT_ONCE):
                 part = b.slice(i, _AT_ONCE)
-                x = _matrix(part.column("v"))
-                row, where = (held.value.lists_of_queries if queries else held.value.lists_of_vectors)(x)
+                row, where = held.value.lists_of_vectors(_matrix(part.column("v")))
                 yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), part.column("id").take(pa.array(row)), part.column("v").take(pa.array(row))], ["list", "id", "v"])
 
     return vectors.select("id", "v").mapInArrow(assign, "list long, id long, v array<double>")
 
 
+def _looks(queries: DataFrame, index: Index) -> DataFrame:
+    """(block, id, v, lists): every block that a query looks at, with the lists that it looks at there."""
+    held = queries.sparkSession.sparkContext.broadcast(index)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        for b in batches:
+            for i in range(0, b.num_rows, _AT_ONCE):
+                part = b.slice(i, _AT_ONCE)
+                row, where = own.lists_of_queries(_matrix(part.column("v")))
+                parts = own.parts[where]
+                nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                row, where, block = np.repeat(row, parts), np.repeat(where, parts), np.repeat(own.first[where], parts) + nth
+                order = np.lexsort((where, block, row))
+                row, where, block = row[order], where[order], block[order]
+                starts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (block[1:] != block[:-1]))) if len(row) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(where.astype(np.int64)))
+                at = pa.array(row[starts])
+                yield pa.RecordBatch.from_arrays([pa.array(block[starts].astype(np.int64)), part.column("id").take(at), part.column("v").take(at), lists], ["block", "id", "v", "lists"])
+
+    return queries.select("id", "v").mapInArrow(assign, "block long, id long, v array<double>, lists array<long>")
+
+
 def _true_neighbours(posted: DataFrame, sample: pa.Table, k: int) -> list[tuple[int, list[int]]]:
     """(row of sample, lists) for the k best of all vectors for each row; a task holds its own best only."""
     held = posted.sparkSession.sparkContext.broadcast((np.asarray(sample["id"]), _matrix(sample["v"])))
@@ -214,41 +312,57 @@ def _true_neighbours(posted: DataFrame, sample: pa.Table, k: int) -> list[tuple[
     return [(r["row"], r["lists"]) for r in found.collect()]
 
 
-def _best(k: int):
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if left.num_rows and right.num_rows:
-            left = left.sort_by("list")
-            x, ids = _matrix(left["v"]), np.asarray(left["id"])
-            lists, starts = np.unique(np.asarray(left["list"]), return_index=True)
-            ends = np.append(starts[1:], len(ids))
-            q, asked = _matrix(right["v"]), np.asarray(right["id"])
-            looked = right["lists"].combine_chunks()
-            row = np.repeat(np.arange(len(q)), np.diff(np.asarray(looked.offsets)))
-            wide = min(len(x), COPIES * (k + 6))  # a few more than wanted, as the products below round in another order
-            parts = []
-            looks = np.zeros((len(q), len(lists)), bool)
-            at = np.searchsorted(lists, np.asarray(looked.flatten()))
-            here = (at < len(lists)) & (lists[np.minimum(at, len(lists) - 1)] == np.asarray(looked.flatten()))
-            looks[row[here], at[here]] = True
-            for i in range(0, len(q), 256):
-                some, near = looks[i : i + 256], np.full((len(q[i : i + 256]), len(x)), -np.inf)
-                for j in np.flatnonzero(some.any(axis=0)):
-                    own = np.flatnonzero(some[:, j])
-                    near[own, starts[j] : ends[j]] = q[i + own] @ x[starts[j] : ends[j]].T
-                best = np.argpartition(-near, wide - 1, axis=1)[:, :wide]
-                exact = (q[i : i + 256, None, :] * x[best]).sum(2)
-                exact[np.isinf(np.take_along_axis(near, best, 1))] = -np.inf
-                # A vector may be in two of the lists: its copies stand together, and the second goes.
-                order = np.lexsort((ids[best], -exact), axis=1)
-                named, exact = np.take_along_axis(ids[best], order, 1), np.take_along_axis(exact, order, 1)
-                fresh = np.isfinite(exact)
-                fresh[:, 1:] &= named[:, 1:] != named[:, :-1]
-                fresh &= np.cumsum(fresh, axis=1) <= k
-                r, c = np.nonzero(fresh)
-                parts.append((asked[i + r], named[r, c], exact[r, c]))
-            found = [np.concatenate(c) for c in zip(*parts)]
-        return pa.table({"query": found[0], "id": found[1], "score": found[2]})
+def _best_of_block(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, starts: np.ndarray, ends: np.ndarray, asking: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of a block's vectors (sorted by list) for each query; every one that ties with the last is weighed by its exact score and id."""
+    q, asked = _matrix(asking.column("v")), np.asarray(asking.column("id"))
+    looked = asking.column("lists")
+    values = np.asarray(looked.flatten())
+    at = np.searchsorted(lists, values)
+    here = (at < len(lists)) & (lists[np.minimum(at, len(lists) - 1)] == values)
+    looks = np.zeros((len(q), len(lists)), bool)
+    looks[np.repeat(np.arange(len(q)), np.asarray(looked.value_lengths()))[here], at[here]] = True
+    wide, longest = min(len(x), COPIES * k), np.sqrt((x**2).sum(1).max())
+    for i in range(0, len(q), _ASKED):
+        part, some = q[i : i + _ASKED], looks[i : i + _ASKED]
+        near = np.full((len(part), len(x)), -np.inf)
+        for j in np.flatnonzero(some.any(axis=0)):
+            own = np.flatnonzero(some[:, j])
+            near[own, starts[j] : ends[j]] = part[own] @ x[starts[j] : ends[j]].T
+        last = np.partition(near, len(x) - wide, axis=1)[:, len(x) - wide]
+        slack = 1e-11 * longest * np.sqrt((part**2).sum(1))  # products in another order round otherwise
+        row, column = np.nonzero((near >= (last - slack)[:, None]) & np.isfinite(near))
+        exact = np.concatenate([np.zeros(0), *((part[row[a : a + _PAIRS]] * x[column[a : a + _PAIRS]]).sum(1) for a in range(0, len(row), _PAIRS))])
+        order = np.lexsort((ids[column], -exact, row))
+        row, named, exact = row[order], ids[column[order]], exact[order]
+        fresh = np.append(True, (row[1:] != row[:-1]) | (named[1:] != named[:-1])) if len(row) else np.zeros(0, bool)  # copies in two lists stand together
+        row, named, exact = row[fresh], named[fresh], exact[fresh]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (asked[i + row], named, exact)], ["query", "id", "score"])
+
+
+def _scored(k: int):
+    """Streams rows sorted by (block, chunk, kind): a block's vectors are held, then its queries pass."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, pieces, ready = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([np.asarray(b.column(c), np.int64) for c in ("block", "chunk", "kind")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
+                part = b.slice(lo, hi - lo)
+                if current != (keys[0, lo], keys[1, lo]):
+                    current, pieces, ready = (keys[0, lo], keys[1, lo]), [], None
+                if keys[2, lo] == 0:
+                    pieces.append((_matrix(part.column("v")), np.asarray(part.column("id")), np.asarray(part.column("list"))))
+                elif pieces:
+                    if ready is None:
+                        x, ids, where = (np.concatenate(c) for c in zip(*pieces))
+                        order = np.argsort(where, kind="stable")
+                        lists, starts = np.unique(where[order], return_index=True)
+                        ready = x[order], ids[order], lists, starts, np.append(starts[1:], len(ids))
+                    yield from _best_of_block(*ready, part, k)
 
     return score
 
@@ -263,62 +377,89 @@ def _unit(seed: str) -> Column:
 
 
 def build(distinct: DataFrame, n: int, norm: float) -> Index:
-    """An index fitted on a sample of about SAMPLE distinct vectors, by hash of the id."""
-    lists = 1 if n <= EXACT else min(CENTROIDS, max(2, round(n / LIST)))
-    sample = distinct.where(_unit("ann") < F.lit(min(1.0, SAMPLE / n))).select("id", "v").toArrow().sort_by("id") if lists > 1 else None
-    if sample is None or not sample.num_rows:
+    """An index fitted on about SAMPLE vectors a list, by hash of the id."""
+    lists = min(CENTROIDS, max(1, round(SCALE * math.sqrt(n))))
+    sample = distinct.where(_unit("ann") < F.lit(min(1.0, SAMPLE * lists / n))).select("id", "v").toArrow().sort_by("id")
+    if not sample.num_rows:
         sample = pa.table({"v": distinct.limit(1).select("v").toArrow()["v"]})
     return Index(_matrix(sample["v"]), lists, norm)
 
 
+def _filled(rows: DataFrame) -> DataFrame | None:
+    """rows with vectors filled up with zeros to the longest one's length; None without rows."""
+    least, most = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if most is None:
+        return None
+    return rows if least == most else rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("v"))))
+
+
+def _found(distinct: DataFrame, queries: DataFrame, index: Index, posted: DataFrame, k: int) -> DataFrame:
+    """(query, id, score): the k best of the lists that each query looks at."""
+    sc = distinct.sparkSession.sparkContext
+    cores = max(1, sc.defaultParallelism)
+    index.place(int(min(BLOCK, max(LEAST, -(-index.sizes.sum() // (SPREAD * cores))))))
+    places = distinct.sparkSession.createDataFrame(pa.table({"list": np.arange(len(index.sizes)), "first": index.first, "parts": index.parts}))
+    left = posted.join(F.broadcast(places), "list").select((F.col("first") + F.pmod(F.xxhash64("id"), "parts")).alias("block"), "id", "v", "list")
+    looks = cut_lineage(_looks(queries, index))
+    popular = cut_lineage(looks.groupBy("block").count().where(F.col("count") > QUERIES).select("block", F.ceil(F.col("count") / QUERIES).alias("chunks")))
+    zero, none = F.lit(0).cast("long"), F.lit(None)
+    if popular.isEmpty():
+        left, looks, n = left.withColumn("chunk", zero), looks.withColumn("chunk", zero), 1
+    else:
+        n = popular.agg(F.max("chunks")).first()[0]
+        left = join_small(left, popular, ["block"], CENTROIDS, F.col("id"), "left").withColumn("chunk", F.explode(F.sequence(zero, F.coalesce(F.col("chunks"), F.lit(1)) - 1))).drop("chunks")
+        looks = join_small(looks, popular, ["block"], CENTROIDS, F.col("id"), "left").withColumn("chunk", F.pmod(F.xxhash64("id"), F.coalesce(F.col("chunks"), F.lit(1)))).drop("chunks")
+    columns = ["block", "chunk", "kind", "id", "v", "list", "lists"]
+    both = left.withColumns({"kind": F.lit(0), "lists": none.cast("array<long>")}).select(*columns).unionByName(looks.withColumns({"kind": F.lit(1), "list": none.cast("long")}).select(*columns))
+    blocks = int(index.first[-1] + index.parts[-1])
+    tasks = int(max(1, min(blocks * n, max(SPREAD * cores, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
+    ordered = both.repartition(tasks, "block", "chunk").sortWithinPartitions("block", "chunk", "kind")
+    found = ordered.mapInArrow(_scored(k), "query long, id long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")  # a vector found in two lists has one place
+    return found.withColumn("place", F.dense_rank().over(best)).where(F.col("place") <= k).select("query", "id", "score").distinct()
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score: the k best found for each vec_id divisible by `every`.
 
     vectors has vec_id and embedding. A query's own id is no candidate; ties go to the smaller id;
     fewer candidates than k are all returned. Null ids, null and zero vectors and vectors with null or
-    non-finite components take no part, nor do vectors of another length than most. Rows that repeat
-    an id with its vector count once.
+    non-finite components take no part. Vectors of unequal length are compared as if filled up with
+    zeros. Rows that repeat an id with its vector count once; an empty table gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _sound(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if sizes is None:
+    filled = _filled(rows)
+    if filled is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    rows = rows.where(F.size("v") == sizes[0])
+    rows = filled
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    distinct = cut_lineage(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.pmod("id", F.lit(every)) == 0, F.col("id"))).alias("asks")))
-    n, most, asking = distinct.agg(F.count(F.lit(1)), F.max(norm), F.count("asks")).first()
+    asks = F.when(F.pmod("id", F.lit(every)) == 0, F.col("id"))
+    distinct = cut_lineage(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min(asks).alias("asks"), F.count(asks).alias("n_asks")))
+    n, total, most, asking = distinct.agg(F.count(F.lit(1)), F.sum("n"), F.max(norm), F.count("asks")).first()
     index = build(distinct, n, float(most))
-    posted = cut_lineage(_listed(distinct, index, queries=False))
-    queries = distinct.where(F.col("asks").isNotNull())
+    posted = cut_lineage(_listed(distinct, index))
+    index.sizes = np.zeros(len(index.graph.points), np.int64)
+    for r in posted.groupBy("list").count().collect():  # at most CENTROIDS counts come to the driver
+        index.sizes[r["list"]] = r["count"]
+    index.wanted = COPIES * (k + 2)  # a vector is in COPIES lists at most, so so many hold k + 2 different ones
+    queries = distinct.where(F.col("asks").isNotNull()).select(F.col("asks").alias("id"), "v", F.col("id").alias("rep"))
     if len(index.graph.points) > 1 and asking:
-        sample = queries.where(_unit("tune") < F.lit(min(1.0, SAMPLED / asking))).select("id", "v").toArrow().sort_by("id")
+        sample = queries.where(_unit("tune") < F.lit(min(1.0, SAMPLED / asking))).select(F.col("rep").alias("id"), "v").toArrow().sort_by("id")
         if sample.num_rows:
             index.tune(_matrix(sample["v"]), _true_neighbours(posted, sample, k))
-    asked = cut_lineage(_listed(queries, index, queries=True))
-    # Lists in order share a block up to its size; a longer list has its own, in parts. At most CENTROIDS rows.
-    sizes = posted.groupBy("list").count()
-    ahead = F.coalesce(F.sum(F.least("count", F.lit(BLOCK))).over(Window.orderBy("list").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("block", F.when(F.col("count") > BLOCK, -1 - F.col("list")).otherwise(F.floor(ahead / BLOCK)))
-    place = cut_lineage(sizes.select("list", "block", F.ceil(F.col("count") / BLOCK).alias("parts")))
-    looks = asked.join(place, "list").groupBy("block", "id").agg(F.first("v").alias("v"), F.first("parts").alias("parts"), F.collect_list("list").alias("lists"))
-    looks = cut_lineage(looks)
-    chunks = cut_lineage(looks.groupBy("block").count().select("block", F.ceil(F.col("count") / QUERIES).alias("chunks")))
-    zero = F.lit(0).cast("long")
-    left = posted.join(place, "list").join(chunks, "block").select("block", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"), "list", "id", "v")
-    right = looks.join(chunks, "block").select("block", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), "lists", "id", "v")
-    by = ["block", "part", "chunk"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_best(k + 1), "query long, id long, score double").distinct()
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    found = cut_lineage(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place"))
-    # From here on ids stand for equal vectors: k + 1 smallest ids of each are all that can be among k besides the query's own.
-    many = distinct.where("n > 1").select("v", F.col("id").alias("same"))
-    members = rows.join(many, "v").select("same", "id").distinct()
+    found = cut_lineage(_found(distinct, queries, index, posted, k + 1))
+    # ids of found stand for equal vectors: the k + 1 smallest ids of each are all that can be among k besides the query's own.
+    many = distinct.where("n > 1").select("v", F.col("id").alias("same"), F.col("asks").alias("query"), "n", "n_asks")
+    members = cut_lineage(join_crowded(rows, many, ["v"], "n", total).select("same", "id", "query", "n_asks").distinct())
     smallest = Window.partitionBy("same").orderBy("id")
-    few = cut_lineage(members.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k + 1).select(F.col("same").alias("id"), F.col("id").alias("vec_id")))
-    hits = found.join(few, "id", "left").select("query", F.coalesce("vec_id", "id").alias("vec_id"), "score")
-    askers = members.where(F.pmod("id", F.lit(every)) == 0).withColumnsRenamed({"same": "query", "id": "query_id"})
+    few = members.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k + 1).groupBy("same").agg(F.collect_list("id").alias("ids"))
+    hits = found.join(few.withColumnRenamed("same", "id"), "id", "left").select("query", F.explode(F.coalesce("ids", F.array("id"))).alias("vec_id"), "score")
     top = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    hits = cut_lineage(hits.withColumn("place", F.row_number().over(top)).where(F.col("place") <= k + 1).drop("place"))
-    hits = hits.join(askers, "query", "left").withColumn("query_id", F.coalesce("query_id", "query")).where("vec_id <> query_id")
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = hits.withColumn("place", F.row_number().over(top)).where(F.col("place") <= k + 1)
+    hits = cut_lineage(hits.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("hits")))
+    others = members.where((F.pmod("id", F.lit(every)) == 0) & (F.col("id") != F.col("query"))).select("query", F.col("id").alias("query_id"))
+    counted = hits.join(distinct.where("n_asks > 1").select(F.col("asks").alias("query"), "n_asks"), "query")
+    more = join_crowded(others, cut_lineage(counted), ["query"], "n_asks", total).select("query_id", "hits")
+    every_one = hits.withColumnRenamed("query", "query_id").unionByName(more)
+    best = F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)
+    return every_one.select("query_id", F.posexplode(best).alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), "hit.vec_id", "hit.score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
@@ -16,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Ways in which the rows of a crowded key are split.
 SALTS = 32
+#: Keys that are crowded, at most: those with more than one CROWDED-th of all rows.
+CROWDED = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +31,17 @@ def fold(doc_id: Column, mod: int) -> Column:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder and read back, so a lost executor can't undo it."""
+    """df written to the cluster's checkpoint folder and read back, so a lost executor can't undo it.
+
+    On a local master without spark.checkpoint.dir, as in tests, a temporary folder takes its place; a
+    cluster without it is an error, as executors share no such folder.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that its executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -49,6 +59,18 @@ def join_small(rows: DataFrame, small: DataFrame, by: list[str], most: int, spre
     return salted.join(copied, [*by, salt], how).drop(salt)
 
 
+def join_crowded(rows: DataFrame, keyed: DataFrame, by: list[str], count: str, total: int) -> DataFrame:
+    """rows inner-joined with keyed (written already; one row a key), whose column `count` tells how many rows a key has.
+
+    Keys with more than a CROWDED-th of `total` rows, CROWDED of them at most, are broadcast; every other key
+    has so few rows that dealing them out by key crowds no task.
+    """
+    crowded = F.col(count) * CROWDED > F.lit(total)
+    few = F.broadcast(keyed.where(crowded))
+    rest = rows.join(F.broadcast(keyed.where(crowded).select(*by)), by, "left_anti").join(keyed.where(~crowded), by)
+    return rows.join(few, by).unionByName(rest)
+
+
 def spare_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}
