@@ -39,7 +39,7 @@ RECALL, SAMPLED = 0.94, 256
 DEGREE, BACK, OPENED, BEAM = 24, 16, 8, 32
 #: Most and fewest vectors of a block, blocks for each core, and queries that stream past one copy of a block.
 BLOCK, LEAST, SPREAD, QUERIES = 16_384, 128, 4, 65_536
-_AT_ONCE, _ASKED, _PAIRS = 512, 256, 32_768
+_AT_ONCE, _ASKED, _PAIRS, _GAPS = 512, 256, 32_768, 4_096
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,7 +96,7 @@ class Graph:
     """Centroids with each one's nearest neighbours and a few random ones, searched by beam."""
 
     def __init__(self, points: np.ndarray, seed: int = 5) -> None:
-        self.points = points
+        self.points, self.rough = points, points.astype(np.float32)  # the beam finds its way by the latter
         n = len(points)
         g = np.random.default_rng(seed)
         near, far = _neighbours(points, min(DEGREE, n - 1))
@@ -106,7 +106,7 @@ class Graph:
     def nearest(self, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
         """Up to `want` (BEAM at most) centroids near each row of x, nearest first, and their distances (infinite where there are fewer)."""
         n, rows, width = len(self.points), np.arange(len(x))[:, None], min(BEAM, len(self.points))
-        norms, own = (self.points**2).sum(1), (x**2).sum(1)[:, None]
+        norms, own, rough = (self.points**2).sum(1), (x**2).sum(1)[:, None], x.astype(np.float32)
         start = self.entries[:width]
         beam, far = np.full((len(x), width), n), np.full((len(x), width), np.inf)
         beam[:, : len(start)], far[:, : len(start)] = start, _squared(x, self.points[start])
@@ -129,9 +129,11 @@ class Graph:
             around.sort(axis=1)
             around[:, 1:][around[:, 1:] == around[:, :-1]] = n
             seen[live[:, None], around] = True
-            inner = x[live] @ self.points.T if around.shape[1] * 4 > n else None
             near = np.minimum(around, n - 1)
-            inner = np.take_along_axis(inner, near, 1) if inner is not None else np.einsum("ij,ikj->ik", x[live], self.points[near])
+            if around.shape[1] * 4 > n:
+                inner = np.take_along_axis(rough[live] @ self.rough.T, near, 1)
+            else:
+                inner = np.matmul(self.rough[near], rough[live][:, :, None])[:, :, 0]
             d = np.where(around == n, np.inf, np.maximum(own[live] + norms[near] - 2 * inner, 0))
             both, dist = np.concatenate([beam[live], around], 1), np.concatenate([far[live], d], 1)
             keep = np.argpartition(dist, width - 1, axis=1)[:, :width]
@@ -174,8 +176,8 @@ class Index:
         self.norm = norm
         x = self.lifted(sample)
         self.graph = Graph(centroids(x, lists))
-        _, far = self.graph.nearest(x, 2)
-        gap = far[:, 1] / np.maximum(far[:, 0], 1e-12 * max(norm, 1e-300)) if far.shape[1] > 1 else np.full(len(x), np.inf)
+        _, far = self.graph.nearest(x[:: -(-len(x) // _GAPS)], 2)
+        gap = far[:, 1] / np.maximum(far[:, 0], 1e-12 * max(norm, 1e-300)) if far.shape[1] > 1 else np.full(len(far), np.inf)
         self.closure = float(np.quantile(gap, BOUNDARY)) if np.isfinite(gap).all() else 1.0
         self.ratio = 1.0
         self.first, self.parts = np.zeros(len(self.graph.points), np.int64), np.ones(len(self.graph.points), np.int64)
