@@ -20,9 +20,8 @@ def slow(rows, sites):
         lines = (r["text"] or "").split("\n")
         own = [x for x in lines if x.strip(BLANK)]
         gone = [x for x in own if x.strip(BLANK) in bad]
-        alone = 2 * sum(len(x.strip(BLANK)) for x in gone) > sum(len(x.strip(BLANK)) for x in own)
-        text = r["text"] if alone or not gone else "\n".join(x for x in lines if x.strip(BLANK) not in bad)
-        out.append((r["doc_id"], len(own), 0 if alone else len(gone), alone, None if text is None else hashlib.md5(text.encode()).hexdigest()))
+        text = "\n".join(x for x in lines if x.strip(BLANK) not in bad) if gone else r["text"]
+        out.append((r["doc_id"], len(own), len(gone), sum(len(x.strip(BLANK)) for x in gone), None if text is None else hashlib.md5(text.encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
@@ -44,22 +43,31 @@ def test_odd_rows(odd_docs, no_docs):
     cleaned = line_dedup.clean(odd_docs, 2)
     assert cleaned.columns == odd_docs.columns and cleaned.count() == odd_docs.count()
     assert line_dedup.clean(no_docs).count() == line_dedup.report(no_docs).count() == 0
+    assert line_dedup.clean(odd_docs.drop("n_chars"), 2).count() == odd_docs.count()
 
 
-def test_copies_are_left_alone(spark):
-    rows = [(i, "a whole text that many sites copy", "en", f"s{i}", 33) for i in range(20)] + [(99, "a longer text of its own\na whole text that many sites copy\nand a good deal more of it", "en", "s1", 80)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r["doc_id"]: r for r in line_dedup.clean(docs).collect()}
-    assert got[3]["text"] == rows[0][1] and got[3]["n_chars"] == 33
-    assert got[99]["text"] == "a longer text of its own\nand a good deal more of it" and got[99]["n_chars"] == len(got[99]["text"])
+SHARED = "a long passage that very many sites repeat " * 12
 
 
-def test_mostly_boilerplate_is_cleaned(spark):
-    shared = "a long passage that very many sites repeat " * 12
-    rows = [(i, f"own {i}\n \n{shared}\n  {shared}\nsigned {i}", "en", f"s{i}", 1) for i in range(20)] + [(99, f"{shared}\n\n{shared}", "en", "s1", 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+def mostly_shared(spark):
+    rows = [(i, f"own {i}\n \n{SHARED}\n  {SHARED}\nsigned {i}", "en", f"s{i}", 1) for i in range(20)] + [(99, f"{SHARED}\n\n{SHARED}", "en", "s1", 2)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_every_document_is_cleaned(spark):
+    """Whatever the share of boilerplate in it."""
+    _, docs = mostly_shared(spark)
     got = {r["doc_id"]: r for r in line_dedup.clean(docs).collect()}
     assert all(got[i]["text"] == f"own {i}\n \nsigned {i}" and got[i]["n_chars"] == len(got[i]["text"]) for i in range(20))
+    assert got[99]["text"] == "" and got[99]["n_chars"] == 0
+    told = {r["doc_id"]: r for r in line_dedup.report(docs).collect()}
+    assert told[99]["n_removed"] == 2 and told[99]["chars_removed"] == 2 * len(SHARED.strip())
+
+
+def test_copies_may_be_spared(spark):
+    rows, docs = mostly_shared(spark)
+    got = {r["doc_id"]: r for r in line_dedup.clean(docs, spare_copies=True).collect()}
+    assert all(got[i]["text"] == f"own {i}\n \nsigned {i}" for i in range(20))
     assert got[99]["text"] == rows[20][1] and got[99]["n_chars"] == 2
 
 
@@ -72,5 +80,18 @@ def test_sql(spark, sf):
 
 def test_salted_joins_give_the_same(spark, sf, monkeypatch):
     monkeypatch.setattr(line_dedup, "HASHES", 0)
+    monkeypatch.setattr(line_dedup, "INLINE", 0)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert sorted(map(tuple, line_dedup.report(docs, 5).collect()), key=repr) == slow(docs.collect(), 5)
+
+
+def test_many_hashes_give_the_same(spark, sf, odd_docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "INLINE", 0)
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), odd_docs):
+        assert sorted(map(tuple, line_dedup.report(docs, 2).collect()), key=repr) == slow(docs.collect(), 2)
+
+
+def test_texts_are_not_shuffled(spark, sf, capsys):
+    line_dedup.report(spark.read.parquet(f"{sf}/documents.parquet"), 5).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and "Python" not in plan
