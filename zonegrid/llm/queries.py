@@ -16,8 +16,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-#: Every document is used; sources are repeated until the weights' entropy is 97 % of the largest one.
-MIXTURE = mixing.Target(entropy=0.97, repeats=None, budget=None)
+#: Half as many tokens again as there are, nearly evenly from all sources, each used twice at most, in blocks of 20,000 tokens.
+MIXTURE = mixing.Target(entropy=0.999, repeats=2.0, share=1.5, block=20_000)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
