@@ -46,6 +46,70 @@ def test_encoding(short_chunks, words, text):
     assert short_chunks.encode(text) == slow(words, text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(text=st.text(max_size=300))
+def test_encoding_of_any_text(short_chunks, words, text):
+    assert short_chunks.encode(text) == slow(words, text)
+
+
+#: Scripts with and without white space, marks that combine, capitals whose lower case composes anew.
+SCRIPTS = ["Привет мир, как дела? ", "你好世界这是一个很长的句子没有空格", "मस्ते दुनिया ", "안녕하세요 세계 ", "שלום עולם ", "مرحبا بالعالم ", "H\u0331\u0331 e\u0301 ", "ΣΑΣ ΟΔΟΣ ", "\U0001f600\U0001f468\u200d\U0001f469 ", "İI\u0307 ", "don't we'll ", "Ⅷ ² ½ 12345 "]
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_scripts(words, script, monkeypatch):
+    """Long texts of one script: exact, and copies are met in the chunks kept."""
+    g = random.Random(3)
+    pieces = [script] + [script[i:j] for i in range(len(script)) for j in (i + 1, i + 3)]
+    passage = "".join(g.choice(pieces) for _ in range(1500))
+    for mean in (7, 64, 1024):
+        monkeypatch.setattr(bpe_chunks, "MEAN", mean)
+        encoder = bpe_chunks.Encoder(WORDS)
+        for text in (passage, "front " + passage, passage[5:], passage + " <|endoftext|>x " + passage):
+            assert encoder.encode(text) == slow(words, text)
+
+
+def test_copies_are_encoded_once(words, monkeypatch):
+    """A passage without white space, in any script, costs its copy the joins only."""
+    g = random.Random(4)
+    monkeypatch.setattr(bpe_chunks, "MEAN", 1024)
+    for alphabet in ("你好世界这是一个很长的句子，。！", "abc,.!1"):
+        passage = "".join(g.choice(alphabet) for _ in range(12_000))
+        encoder = bpe_chunks.Encoder(WORDS)
+        assert encoder.encode("x" + passage) == slow(words, "x" + passage)
+        cut = []
+        monkeypatch.setattr(encoder, "_pieces", lambda text, plain, f=encoder._pieces: cut.append(len(text)) or f(text, plain))
+        assert encoder.encode("yz " + passage) == slow(words, "yz " + passage)
+        assert sum(cut) < 0.35 * len(passage)
+
+
+def test_long_words(words, monkeypatch):
+    monkeypatch.setattr(bpe_chunks, "MEAN", 1024)
+    encoder = bpe_chunks.Encoder(WORDS)
+    g = random.Random(5)
+    text = "".join(g.choice("abcdefghij") for _ in range(9_000)) + " end " + "".join(g.choice("你好世界") for _ in range(5_000))
+    assert encoder.encode(text) == slow(words, text)
+
+
+def test_other_files_are_refused():
+    with pytest.raises(ValueError):
+        bpe_chunks.Encoder(BYTES)
+
+
+@settings(max_examples=200, deadline=None)
+@given(ids=st.lists(st.integers(0, 60_000), max_size=40))
+def test_decoding(short_chunks, words, ids):
+    assert short_chunks.decode(ids) == words.decode(ids, skip_special_tokens=False)
+
+
+def test_decoded_column(spark, words):
+    from pyspark.sql import functions as F
+
+    rows = [(1, [320, 49407, 1125]), (2, None), (3, []), (4, [None, 320])]
+    got = dict(map(tuple, spark.createDataFrame(rows, "i int, ids array<int>").select("i", bpe_chunks.decoded(F.col("ids"), WORDS)).collect()))
+    assert got == {1: words.decode([320, 49407, 1125], skip_special_tokens=False), 2: "", 3: "", 4: words.decode([320])}
+
+
 def test_cuts_follow_content():
     g = random.Random(1)
     passage = "".join(g.choice("abcdefgh ") for _ in range(20_000))
