@@ -5,7 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from zonegrid.llm import langid, quality, toxicity
+from pyspark.sql import functions as F
+
+from zonegrid.llm import common, langid, quality, toxicity
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -23,10 +25,10 @@ def labels(spark):
 # Languages
 
 
-def slow_bits(texts, text, symbols):
+def slow_bits(texts, text):
     """Code length of text under a recursive PPM with exclusion, order three, of texts."""
-    n, counts = symbols.size, {}
-    read = lambda t: [0, 0, 0, *symbols.symbol[langid._folded(np.frombuffer(t, np.uint8))].tolist()]
+    n, counts = 256, {}
+    read = lambda t: [0, 0, 0, *t]
     for t in texts:
         s = read(t)
         for i in range(3, len(s)):
@@ -53,24 +55,59 @@ def slow_bits(texts, text, symbols):
     return sum(-math.log2(chance(tuple(s[i - 3 : i]), s[i])) for i in range(3, len(s)))
 
 
+PROBES = ["abba", "", "là bad", "cab\n\nd", "a", "zq 1", "ÀÉ", "你", "Abba\0A"]
+
+
+def check_bits(texts):
+    model = langid.Model(texts)
+    bits, sizes = model.bits(pa.array(PROBES))
+    again, _ = model.bits(pa.array(PROBES))  # from the table of costs
+    assert np.array_equal(bits, again) and sizes.tolist() == [len(p.encode()) for p in PROBES]
+    for j, k in enumerate(model.languages):
+        for i, p in enumerate(PROBES):
+            assert math.isclose(bits[i, j], slow_bits(texts[k], p.encode()), rel_tol=1e-5, abs_tol=1e-4)
+    every = np.arange(256, dtype=np.uint32)
+    for context in (0, 0x616263, 0xFFFFFF, 0x202061):
+        for tree in model.trees:
+            assert math.isclose((2.0 ** -tree.bits(np.uint32(context << 8) | every)).sum(), 1, rel_tol=1e-6)
+
+
 def test_code_lengths_are_exact(monkeypatch):
+    """Contexts that were seen once count as well."""
     monkeypatch.setattr(langid, "_BLOCK", 7)
-    texts = {"x": [b"abracadabra", b"cabbage abba"] * 4, "y": ["déjà vu là".encode(), b"bad dad", b""] * 4}
+    check_bits({"x": [b"abracadabra", b"cabbage abba"], "y": ["déjà vu là".encode(), b"bad dad", b""]})
+
+
+def test_many_languages(monkeypatch):
+    """Each of 90 languages is learned, and its tree is the one that it has alone."""
+    monkeypatch.setattr(langid, "TABLE", 1 << 16)
+    g = np.random.default_rng(7)
+    letters = [chr(c) for c in [*range(0x61, 0x7B), *range(0x430, 0x450), *range(0x3B1, 0x3C9), *range(0x5D0, 0x5EB)]]
+    words = {f"l{i:02}": ["".join(g.choice(letters, 6)) for _ in range(40)] for i in range(90)}
+    say = lambda k, n: " ".join(g.choice(words[k], n)).encode()
+    texts = {k: [say(k, 60) for _ in range(4)] for k in words}
     model = langid.Model(texts)
-    # contexts seen once or twice are pruned; these all occur four times
-    probe = ["abba", "", "là bad", "cab\n\nd", "a", "zq", "ÀÉ", "你"]
-    bits, _ = model.bits(pa.array(probe))
-    for j, k in enumerate(model.languages):
-        for i, p in enumerate(probe):
-            assert math.isclose(bits[i, j], slow_bits(texts[k], p.encode(), model), rel_tol=1e-5, abs_tol=1e-4)
-    assert np.allclose((2.0 ** -model.cost.reshape(-1, model.size, 2).astype(float)).sum(1), 1, atol=1e-5)
+    assert model.languages == sorted(words)
+    names, _ = model.predict(pa.array([say(k, 12).decode() for k in words]))
+    assert names == list(words)
+    alone = langid.Model({"l07": texts["l07"]})
+    assert np.allclose(model.bits(pa.array(PROBES))[0][:, 7], alone.bits(pa.array(PROBES))[0][:, 0], rtol=1e-6)
+
+
+def test_all_languages_of_a_table_are_learned(spark):
+    rows = [(i, f"{'abcdefghij'[i % 7]}{i % 80:02} " * 30 + f"w{i % 80}x " * 20, f"l{i % 80}", "s", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(langid.fit(df).languages) == 80
+    few = langid.fit(df.where("lang IN ('l1', 'l2')"), texts=2)
+    assert few.languages == ["l1", "l2"]
 
 
-def test_pruned_tree_is_still_a_distribution():
-    texts = {"x": [bytes(range(97, 123)) * 40, b"the quick brown fox " * 50]}
-    for table in (4 * 28 * 40, 4 * 28 * 300):
-        model = langid.Model(texts, table)
-        assert np.allclose((2.0 ** -model.cost.reshape(-1, model.size, 1).astype(float)).sum(1), 1, atol=1e-5)
+def test_equal_rows_are_sampled_once(spark):
+    rows = [(1, "the same text " * 20, "en")] * 500 + [(2, "autre chose ici " * 20, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tree = langid.fit(df).trees[0]
+    alone = langid.Model({"en": [("the same text " * 20).encode()]}).trees[0]
+    assert all(np.array_equal(a, b) for a, b in zip(tree.costs, alone.costs))
 
 
 def test_held_out_languages(docs):
@@ -140,21 +177,106 @@ def test_held_out_quality(spark, docs, labels):
     assert np.mean(good) > 0.985 and np.mean(bad) < 0.25
 
 
-def test_both_views_learn_from_each_other(docs, labels):
-    model = quality.fit(docs, labels, labelled=200, pool=600)
-    rows = docs.join(labels, "doc_id").select("text", "lang", "source", F_double("n_chars"), labels.quality).limit(1500).toArrow()
-    y = np.array(rows["quality"].to_pylist())
-    columns = quality._columns(rows)
-    content = model.view[0].logit(quality.content_view(columns[0]))
-    meta = model.view[1].logit(quality.metadata_view(*columns))
-    rank = lambda z: np.mean(z[y == 1][:, None] > z[y == 0][None])
-    assert rank(content) > 0.95 and rank(meta) > 0.5 and rank(model.score(*columns)) > 0.95
-
-
-def F_double(name):
-    from pyspark.sql import functions as F
-
-    return F.col(name).cast("double").alias(name)
+def chance(z):
+    return 1 / (1 + np.exp(-z))
+
+
+def test_calibration_by_brute_force():
+    """No slope and shift near the fitted ones have a smaller loss."""
+    g = np.random.default_rng(1)
+    z = g.normal(size=400) * 3
+    t, w = (g.random(400) < chance(0.4 * z - 0.7)).astype(float), g.uniform(0.5, 2, 400)
+    high, low = ((w * t).sum() + 1) / ((w * t).sum() + 2), 1 / ((w * (1 - t)).sum() + 2)
+    goal = np.where(t > 0, high, low)
+    loss = lambda a, b: -(w * (goal * np.log(chance(a * z + b)) + (1 - goal) * np.log(1 - chance(a * z + b)))).sum()
+    a, b = common.platt(z, t, w)
+    assert abs(a - 0.4) < 0.15 and abs(b + 0.7) < 0.4
+    assert all(loss(a, b) <= loss(a + da, b + db) + 1e-3 for da in (-0.02, 0, 0.02) for db in (-0.02, 0, 0.02))
+
+
+def two_views(n, seed, flip=0.0):
+    """Rows whose views are independent, given the label; the second one is weak."""
+    g = np.random.default_rng(seed)
+    y = (g.random(n) < 0.5).astype(float)
+    first = g.normal(size=(n, 30)) + 0.45 * (2 * y - 1)[:, None]
+    second = g.normal(size=(n, 10)) + 0.6 * (2 * y - 1)[:, None]
+    return [first.astype(np.float32), second.astype(np.float32)], y
+
+
+def test_views_learn_from_each_other():
+    """With few labels, what either view is sure of makes the other one better, and the blend beats both."""
+    views, y = two_views(24, 1)
+    model = quality.Model(views, y, np.ones(24), np.arange(24) % 3 == 0)
+    probe, t = two_views(4000, 2)
+    right = lambda m: [((v.logit(x) > 0) == (t > 0)).mean() for v, x in zip(m.view, probe)]
+    before = right(model)
+    for r in range(3):
+        pool, _ = two_views(600, 10 + r)
+        z = [a * v.logit(x) + b for v, x, (a, b) in zip(model.view, pool, model.calibration)]
+        lessons = []
+        for learner in (0, 1):
+            order = np.argsort(z[1 - learner])
+            sure = np.concatenate([order[:100], order[-100:]])
+            lessons.append((pool[learner][sure], (z[1 - learner][sure] > 0).astype(float)))
+        model.learn(lessons)
+    after = right(model)
+    assert after[0] > before[0] and after[1] > before[1] - 0.01
+    z = np.stack([a * v.logit(x) + b for v, x, (a, b) in zip(model.view, probe, model.calibration)], 1)
+    assert ((model.blended(z) > 0.5) == (t > 0)).mean() >= max(after) - 0.01
+
+
+def test_few_labels_are_calibrated_out_of_sample():
+    """Labelled documents that took part in training never calibrate it."""
+    g = np.random.default_rng(3)
+    noise = [g.normal(size=(40, 200)).astype(np.float32), g.normal(size=(40, 50)).astype(np.float32)]
+    y = (np.arange(40) % 2).astype(float)
+    model = quality.Model(noise, y, np.ones(40), np.zeros(40, bool))
+    assert abs(model.view[0].logit(noise[0])).mean() > 1  # it knows its own rows by heart
+    z = np.stack([a * v.logit(x) + b for v, x, (a, b) in zip(model.view, noise, model.calibration)], 1)
+    assert abs(model.blended(z) - 0.5).mean() < 0.4
+    assert quality.Model([x[:2] for x in noise], y[:2], np.ones(2), np.zeros(2, bool)).calibration == [(1.0, 0.0)] * 2
+
+
+def test_exchange_by_brute_force(spark, docs, labels):
+    """The pseudo-labels are those least by hash of all documents without a label that a view is sure of."""
+    some, known = docs.limit(1500).cache(), labels.where("quality IN (0, 1)").select("doc_id", "quality").limit(300).cache()
+    model = quality.fit(some, known, rounds=0)
+    own = some.withColumn("n_chars", F.col("n_chars").cast("double"))
+    rows = own.select("doc_id", *quality._COLUMNS, quality._hash().alias("h")).toArrow()
+    z = model.logits(*[rows[c].combine_chunks() for c in quality._COLUMNS])
+    named, h = {r["doc_id"] for r in known.collect()}, np.array(rows["h"])
+    free = np.array([i not in named for i in rows["doc_id"].to_pylist()])
+    limit = math.log(quality.SURE / (1 - quality.SURE))
+    for taken in ([[], []], [h[:200].tolist(), []]):
+        got = quality.sure_of(model, own, known, 25, taken)
+        for teacher in (0, 1):
+            for label in (0, 1):
+                sure = free & (z[:, teacher] >= limit if label else z[:, teacher] <= -limit)
+                wanted = sorted(set(h[sure].tolist()) - set(taken[1 - teacher]))[:25]
+                assert got[(got.teacher == teacher) & (got.label == label)].h.tolist() == wanted
+
+
+def test_score_is_the_blend(docs, labels):
+    model = quality.fit(docs, labels, most=200, rounds=1)
+    rows = docs.select("text", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"), quality.score(model, docs, *map(F.col, quality._COLUMNS)).alias("q")).limit(700).toArrow()
+    content, meta = quality._views(rows)
+    z = [a * v.logit(x) + b for v, x, (a, b) in zip(model.view, (content, meta), model.calibration)]
+    wanted = chance(model.blend[0] * z[0] + model.blend[1] * z[1] + model.blend[2])
+    assert np.allclose(np.array(rows["q"]), wanted, atol=1e-5)
+
+
+def test_long_labelled_texts(spark, monkeypatch):
+    """Texts of any length are learned from, within the bound of bytes; repeated ids count once."""
+    monkeypatch.setattr(quality, "BYTES", 400_000)
+    rows = [(i, ("good words here " if i % 2 else "#$% bad ") * (9_000 if i < 4 else 30), "en", "s", 10) for i in range(120)] + [(7, f"again {k}", "en", "s", 9) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    known = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    sample, _ = common.labelled(df, known, "quality", 2_000, 400_000)
+    assert len(set(sample["doc_id"].to_pylist())) == sample.num_rows > 60 and sum(map(len, sample["text"].to_pylist())) < 600_000
+    whole, _ = common.labelled(df, known, "quality", 2_000, 1 << 30)
+    assert whole.num_rows == 120 and max(map(len, whole["text"].to_pylist())) > 70_000
+    got = {r["doc_id"]: r["accepted"] for r in quality.classify(df, known).where("doc_id BETWEEN 20 AND 119").collect()}
+    assert all(v == bool(i % 2) for i, v in got.items())
 
 
 def test_odd_quality(spark, odd_docs, no_docs, labels):
@@ -169,7 +291,8 @@ def test_odd_quality(spark, odd_docs, no_docs, labels):
 
 def test_views_by_hand():
     texts = pa.array(["aab\naab", None, "", "x"])
-    meta = quality.metadata_view(texts, pa.array(["en", None, "en", "en"]), pa.array([None, "s", "s", "s"]), pa.array([7, None, 3, 1]))
-    assert np.allclose(meta[0, -6:] * 10, [np.log1p(7), np.log1p(7), np.log1p(2), np.log1p(3.5), np.log1p(4), 0], atol=1e-5)
+    meta = quality.metadata_view(pa.array(["en", None, "en", "en"]), pa.array([None, "s", "s", "s"]), pa.array([7, None, 3, -1]))
+    assert np.allclose(meta[:, -4], np.log2([8, 1, 4, 1]) / 10) and meta[:, -3:].tolist() == [[0, 1, 0], [1, 0, 1], [0, 0, 0], [0, 0, 0]]
+    assert meta[:, : 2 * quality.NAMES].sum(1).tolist() == [2, 2, 2, 2] and meta[:, 2 * quality.NAMES : -4].argmax(1).tolist() == [3, 0, 2, 0]
     content = quality.content_view(texts)
     assert math.isclose((content[0, : quality.BUCKETS] ** 2).sum(), 1, rel_tol=1e-5) and not content[1:].any()

@@ -130,17 +130,56 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def sampled(df: DataFrame, group: str, most: int, key: str = "doc_id", groups: int = 64) -> tuple[DataFrame, dict]:
+def sampled(df: DataFrame, group: str, most: int, key: Column, size: Column | None = None, budget: int | None = None, overall: int | None = None, least: int = 1) -> tuple[DataFrame, dict]:
     """About `most` rows of each group of df by hash of the key, and each group's count.
 
-    Groups of up to `most` rows come whole. At most the `groups` largest groups are taken (ties by
-    value), so the sample is bounded whatever the size of df. Null groups and keys take no part.
+    Groups of up to `most` rows come whole, but for those whose sizes exceed `budget`: of them about the
+    budget comes. With `overall`, groups share about so many rows, but have `least` in any case.
+    Null groups take no part; the groups themselves come to the driver.
     """
-    df = df.where(F.col(group).isNotNull() & F.col(key).isNotNull())
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()}
-    unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = reduce(lambda c, g: c.when(F.col(group) == F.lit(g), F.lit(min(1.0, most / counts[g]))), counts, F.when(F.lit(False), F.lit(0.0)))
-    return df.where(unit < share.otherwise(0.0)), counts
+    df = df.where(F.col(group).isNotNull())
+    totals = {r[0]: (r[1], r[2] or 0) for r in df.groupBy(group).agg(F.count(F.lit(1)), F.sum(size if size is not None else F.lit(0))).collect()}
+    if overall is not None:
+        most = min(most, max(least, overall // max(1, len(totals))))
+    unit = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    shares = {g: min(1.0, most / n, budget / held if budget and held else 1.0) for g, (n, held) in totals.items()}
+    some = [g for g, share in shares.items() if share < 1.0]
+    if some:
+        pairs = F.create_map(*[F.lit(x) for g in some for x in (g, shares[g])])
+        df = df.where(unit < F.coalesce(F.try_element_at(pairs, F.col(group)), F.lit(1.0)))
+    return df, {g: n for g, (n, _) in totals.items()}
+
+
+def labelled(docs: DataFrame, known: DataFrame, label: str, most: int, budget: int) -> tuple[pa.Table, dict]:
+    """Rows of docs (doc_id, text, ...) for about `most` ids of either label of known (doc_id, label), and the labels' counts.
+
+    An id that many rows of docs have gives one of them, by hash of the text. Texts are whole; null ones
+    are empty, one that is beyond the budget of bytes by itself can't be held, and where all of them are
+    beyond it, fewer rows are taken, by hash again.
+    """
+    ids, counts = sampled(known, label, most, F.col("doc_id"))  # at most about 2 * most ids
+    own = docs.withColumn("text", F.coalesce("text", F.lit(""))).where(F.octet_length("text") <= budget)
+    others = [c for c in docs.columns if c != "doc_id"]
+    one = own.join(F.broadcast(ids), "doc_id").groupBy("doc_id", label).agg(F.min(F.struct(F.xxhash64("text").alias("h"), *others)).alias("row"))
+    rows = cut_lineage(one.select("doc_id", label, *[f"row.{c}" for c in others]))
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if held > budget:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("budget"), "doc_id"), F.lit(1 << 30)) < F.lit(int(budget / held * (1 << 30))))
+    return on_driver(rows), counts
+
+
+def platt(z: np.ndarray, t: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that make sigmoid(slope * z + shift) the chance of label 1, by Newton's method on Platt's smoothed labels."""
+    high, low = ((w * t).sum() + 1) / ((w * t).sum() + 2), 1 / ((w * (1 - t)).sum() + 2)
+    goal = np.where(t > 0, high, low)
+    a, b = 1.0, 0.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        h, e = w * p * (1 - p) + 1e-9, w * (p - goal)
+        m = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-3]])
+        step = np.linalg.solve(m, [(e * z).sum() + 1e-3 * (a - 1), e.sum()])
+        a, b = max(a - np.clip(step[0], -1, 1), 0.05), b - np.clip(step[1], -2, 2)
+    return float(a), float(b)
 
 
 def on_driver(sample: DataFrame) -> pa.Table:

@@ -1,11 +1,12 @@
 """Quality classification by co-training on two views of a document.
 
 The content view is the hashed histogram of the text's byte trigrams with a few figures of its
-spread; the metadata view is what is known about the page: language, source, stated length and the
-layout of its lines. Each view has a logistic classifier. In each round either one labels the
-unlabelled documents that it is surest of, for the other to learn from; at the end each view's
-logit is calibrated on labelled documents that took no part, and a logistic blend of the two scores
-every document.
+spread; the metadata view is what the table says about the page, without its text: language, source
+and stated length. Each view has a logistic classifier. In each round both score every document
+without a label, in Spark; of those that one is sure of, by its calibrated score, a bounded number
+by hash come to the driver, for the other to learn from. At the end each view is calibrated on
+labelled documents that took no part in training, and a logistic blend of the calibrated views, fitted
+on those too, scores every document.
 """
 
 from __future__ import annotations
@@ -13,29 +14,30 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonegrid.llm.common import on_driver, raw_texts, sampled
+from zonegrid.llm.common import cut_lineage, labelled, platt, raw_texts
 
-#: Bounds of the fit: labelled documents of either label, unlabelled ones, longest text (code points) among them.
-LABELLED, POOL, LONGEST = 2_000, 2_000, 50_000
-#: Co-training: rounds, pseudo-labels of either label that a view gives a round, and how sure it must be.
-ROUNDS, GIVEN, SURE = 4, 150, 0.97
-BUCKETS, NAMES = 2048, 256
+#: Bounds of the fit: labelled documents of either label, and their bytes.
+LABELLED, BYTES = 2_000, 48 << 20
+#: Co-training: rounds, pseudo-labels of either label that a view learns from a round, and how sure the other must be.
+ROUNDS, GIVEN, SURE = 3, 200, 0.97
+BUCKETS, FIGURES, NAMES, SIZES = 2048, 8, 256, 40
 #: Documents scored at least so high are accepted.
 ACCEPT = 0.5
 _BLOCK = 1 << 20
 
 
 def content_view(texts: pa.Array) -> np.ndarray:
-    """A row for each text: square roots of the shares of its hashed byte trigrams, and four figures."""
+    """A row for each text: square roots of the shares of its hashed byte trigrams, and figures of their spread and of the lines."""
     data, offsets = raw_texts(texts)
     n = len(offsets) - 1
-    out = np.zeros((n, BUCKETS + 4), np.float32)
+    out = np.zeros((n, BUCKETS + FIGURES), np.float32)
     code = (data[:-2].astype(np.uint32) * 0x9E3779B1 ^ data[1:-1].astype(np.uint32) * 0x85EBCA77 ^ data[2:].astype(np.uint32) * 0xC2B2AE3D) if len(data) > 2 else np.zeros(0, np.uint32)
     code = ((code ^ code >> 15) * np.uint32(0x2C1B3C6D)) >> np.uint32(21)
     for i in range(n):
@@ -43,32 +45,25 @@ def content_view(texts: pa.Array) -> np.ndarray:
         if len(grams):
             share = np.bincount(grams, minlength=BUCKETS) / len(grams)
             out[i, :BUCKETS] = np.sqrt(share)
-            out[i, BUCKETS:] = (10 * (share**2).sum(), (share > 0).sum() / min(len(grams), 500), np.log1p(len(grams)) / 10, len(zlib.compress(data[offsets[i] : offsets[i + 1]], 1)) / len(grams))
+            text = data[offsets[i] : offsets[i + 1]].tobytes()
+            lines, words = text.split(b"\n"), text.split()
+            spread = 10 * (share**2).sum(), (share > 0).sum() / min(len(grams), 500), len(zlib.compress(text, 1)) / len(grams)
+            layout = np.log1p(len(text) / len(lines)) / 10, max(map(len, lines)) / len(text), len(set(lines)) / len(lines)
+            out[i, BUCKETS:] = *spread, *layout, len(set(words)) / max(len(words), 1), np.log1p(len(text) / max(len(words), 1)) / 5
     return out
 
 
-def metadata_view(texts: pa.Array, langs: pa.Array, sources: pa.Array, stated: pa.Array) -> np.ndarray:
-    """A row for each document: hashed language and source, and figures of its stated size and lines."""
-    data, offsets = raw_texts(texts)
-    n = len(offsets) - 1
-    out = np.zeros((n, 2 * NAMES + 6), np.float32)
+def metadata_view(langs: pa.Array, sources: pa.Array, stated: pa.Array) -> np.ndarray:
+    """A row for each document: hashed language and source, the stated length's power of two, its logarithm, and whether each is missing."""
+    n = len(langs)
+    out = np.zeros((n, 2 * NAMES + SIZES + 4), np.float32)
     for at, names in ((0, langs), (NAMES, sources)):
         for i, name in enumerate(names.to_pylist()):
             out[i, at + zlib.crc32((name or "").encode()) % NAMES] = 1
-    breaks = np.flatnonzero(data == 10)
-    size = np.diff(offsets)
-    lines = np.searchsorted(breaks, offsets[1:]) - np.searchsorted(breaks, offsets[:-1]) + 1
-    edges = np.sort(np.concatenate([breaks, offsets[:-1], offsets[1:]]))
-    gaps = np.diff(edges)
-    longest = np.zeros(n)
-    if len(gaps):
-        at = np.searchsorted(edges, offsets[:-1], "right") - 1
-        ends = np.searchsorted(edges, offsets[1:], "left")
-        for i in np.flatnonzero(ends > at):
-            longest[i] = gaps[at[i] : ends[i]].max()
-    told = np.array([x if x is not None else 0 for x in pc.cast(stated, pa.float64()).to_pylist()])
-    figures = [np.log1p(np.maximum(told, 0)), np.log1p(size), np.log1p(lines), np.log1p(size / lines), np.log1p(longest), np.log1p(size) - np.log1p(np.maximum(told, 0))]
-    out[:, 2 * NAMES :] = np.stack(figures, 1) / 10
+    told = np.array([x if x is not None and x > 0 else 0 for x in pc.cast(stated, pa.float64()).to_pylist()]).reshape(n)
+    size = np.log2(1 + told)
+    out[np.arange(n), 2 * NAMES + np.minimum(size.astype(int), SIZES - 1)] = 1
+    out[:, -4:] = np.stack([size / 10, *(np.array(pc.is_null(c)).reshape(n) for c in (langs, sources, stated))], 1)
     return out
 
 
@@ -101,105 +96,172 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _views(t: pa.Table) -> list[np.ndarray]:
+    text, *others = [t[c].combine_chunks() if t.num_rows else pa.array([], t.schema.field(c).type) for c in ("text", "lang", "source", "n_chars")]
+    return [content_view(text), metadata_view(*others)]
+
+
 class Model:
-    """Two co-trained views and their calibrated blend; the sample's tables hold text, lang, source, n_chars."""
+    """Two views' classifiers, their calibrations and the blend of both."""
 
-    def __init__(self, labelled: pa.Table, pool: pa.Table, weight: np.ndarray) -> None:
-        y = np.array(labelled["quality"].to_pylist(), np.float64)
-        aside = np.array([zlib.crc32(b"aside%d" % i) % 4 == 0 for i in labelled["doc_id"].to_pylist()])
+    def __init__(self, views: list[np.ndarray], y: np.ndarray, weight: np.ndarray, aside: np.ndarray) -> None:
+        """Trains either view on the labelled documents that are not aside; views are their rows."""
         if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
-            aside[:] = False
-        views, free = [view(labelled) for view in (_content, _metadata)], [view(pool) for view in (_content, _metadata)]
-        fit = ~aside
+            aside = np.zeros(len(y), bool)
+        self._labelled = views, y, weight, aside
+        self._given: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]  # what either view has learned from the other
         self.view: list[Logistic | None] = [None, None]
-        given = [np.full(len(pool), -1.0), np.full(len(pool), -1.0)]  # labels that each view has been given by the other
-        for turn in range(ROUNDS + 1):
-            self.view = [self._train(x[fit], y[fit], weight[fit], u, g, v) for x, u, g, v in zip(views, free, given, self.view)]
-            if turn == ROUNDS or not len(pool):
-                break
-            for teacher, learner in ((0, 1), (1, 0)):
-                logit = self.view[teacher].logit(free[teacher])
-                for label, sure in ((1.0, logit), (0.0, -logit)):
-                    order = np.argsort(-sure, kind="stable")
-                    take = order[(sigmoid(sure[order]) >= SURE) & (given[learner][order] < 0)][:GIVEN]
-                    given[learner][take] = label
-        check = aside if aside.any() else fit
-        logits = np.stack([m.logit(x[check]) for m, x in zip(self.view, views)], 1)
-        self.spread = logits.std(0) + 1e-6
-        self.blend = Logistic((logits / self.spread).astype(np.float32), y[check], weight[check], 3000, 1e-3)
+        self.calibration, self.blend = [(1.0, 0.0)] * 2, (0.5, 0.5, 0.0)
+        self._train()
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_labelled": None, "_given": None}
+
+    def learn(self, given: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Goes on training either view with rows and labels that the other one is sure of."""
+        for held, new in zip(self._given, given):
+            held.append(new)
+        self._train()
+
+    def _train(self) -> None:
+        views, y, weight, aside = self._labelled
+        for v in (0, 1):
+            self.view[v] = self._one(v, ~aside, self.view[v])
+        z = self._aside_logits()
+        if z is not None:
+            check = aside if aside.any() else np.ones(len(y), bool)
+            self.calibration = [platt(z[:, v], y[check], weight[check]) for v in (0, 1)]
+            sure = np.stack([a * z[:, v] + b for v, (a, b) in enumerate(self.calibration)], 1)
+            fitted = Logistic(sure.astype(np.float32), y[check], weight[check], 2000, 1e-2)
+            self.blend = (float(fitted.beta[0]), float(fitted.beta[1]), float(fitted.bias))
+
+    def _one(self, v: int, rows: np.ndarray, start: Logistic | None) -> Logistic:
+        views, y, weight, _ = self._labelled
+        more = self._given[v]
+        w = np.concatenate([weight[rows], *(np.full(len(t), 0.5 * weight.mean()) for _, t in more)])
+        return Logistic(np.concatenate([views[v][rows], *(x for x, _ in more)]), np.concatenate([y[rows], *(t for _, t in more)]), w, 80 if start else 250, start=start)
+
+    def _aside_logits(self) -> np.ndarray | None:
+        """Both views' logits of labelled documents that they were not trained on: those aside or, where there are none, by halves; None with under two of a label."""
+        views, y, _, aside = self._labelled
+        if aside.any():
+            return np.stack([m.logit(x[aside]) for m, x in zip(self.view, views)], 1)
+        half = np.zeros(len(y), bool)
+        for k in (0, 1):
+            half[np.flatnonzero(y == k)[::2]] = True
+        if min((y[half] == k).sum() for k in (0, 1)) < 1 or min((y[~half] == k).sum() for k in (0, 1)) < 1:
+            return None
+        z = np.zeros((len(y), 2))
+        for part in (half, ~half):
+            for v in (0, 1):
+                z[part, v] = self._one(v, ~part, None).logit(views[v][part])
+        return z
+
+    def logits(self, texts: pa.Array, langs: pa.Array, sources: pa.Array, stated: pa.Array) -> np.ndarray:
+        """A row for each document: the calibrated logits of the content and of the metadata."""
+        rows = content_view(texts), metadata_view(langs, sources, stated)
+        return np.stack([a * m.logit(x) + b for m, x, (a, b) in zip(self.view, rows, self.calibration)], 1)
+
+    def blended(self, z: np.ndarray) -> np.ndarray:
+        first, second, bias = self.blend
+        return sigmoid(first * z[:, 0] + second * z[:, 1] + bias)
+
+
+def _apply(model: Model, docs: DataFrame, kind: T.DataType, finish, text: Column, lang: Column, source: Column, stated: Column) -> Column:
+    """A column of finish(calibrated logits), a few documents at a time."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rate(texts: pa.Array, langs: pa.Array, sources: pa.Array, stated: pa.Array) -> pa.Array:
+        out = [np.zeros((0, 2)), *(held.value.logits(*(a.slice(i, 64) for a in (texts, langs, sources, stated))) for i in range(0, len(texts), 64))]
+        return finish(held.value, np.concatenate(out))
 
-    @staticmethod
-    def _train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, u: np.ndarray, given: np.ndarray, start: Logistic | None) -> Logistic:
-        got = given >= 0
-        w = np.concatenate([weight, np.full(got.sum(), 0.5 * weight.mean())])
-        return Logistic(np.concatenate([x, u[got]]), np.concatenate([y, given[got]]), w, 60 if start else 250, start=start)
+    return F.arrow_udf(rate, kind)(text, lang, source, stated.cast("double"))
 
-    def score(self, texts: pa.Array, langs: pa.Array, sources: pa.Array, stated: pa.Array) -> np.ndarray:
-        logits = np.stack([self.view[0].logit(content_view(texts)), self.view[1].logit(metadata_view(texts, langs, sources, stated))], 1)
-        return sigmoid(self.blend.logit((logits / self.spread).astype(np.float32)))
 
+_COLUMNS = ("text", "lang", "source", "n_chars")
 
-def _columns(t: pa.Table) -> list[pa.Array]:
-    return [t[c].combine_chunks() if t.num_rows else pa.array([], t.schema.field(c).type) for c in ("text", "lang", "source", "n_chars")]
 
+def sure_of(model: Model, docs: DataFrame, known: DataFrame, given: int, taken: list[list[int]]) -> pd.DataFrame:
+    """(h, teacher, label): for either view and label, the `given` documents least by hash of all that it is sure of, that have no label and that the other view has not learned from.
 
-def _content(t: pa.Table) -> np.ndarray:
-    return content_view(_columns(t)[0])
+    h is the hash of a document's text and metadata, so equal documents count as one.
+    """
+    pair = T.StructType([T.StructField("z0", T.DoubleType()), T.StructField("z1", T.DoubleType())])
+
+    def both(_: Model, z: np.ndarray) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(z[:, 0]), pa.array(z[:, 1])], ["z0", "z1"])
 
+    z = _apply(model, docs, pair, both, *map(F.col, _COLUMNS))
+    scored = cut_lineage(docs.select("doc_id", _hash().alias("h"), z.alias("z")).select("doc_id", "h", "z.z0", "z.z1"))
+    free = cut_lineage(scored.join(known.select("doc_id"), "doc_id", "left_anti").select("h", "z0", "z1"))
+    limit, found = float(np.log(SURE / (1 - SURE))), []
+    for teacher in (0, 1):
+        for label in (0, 1):
+            sure = F.col(f"z{teacher}") >= limit if label else F.col(f"z{teacher}") <= -limit
+            rows = free.where(sure & ~F.col("h").isin(taken[1 - teacher])).groupBy("h").agg(F.lit(1)).orderBy("h").limit(given)
+            found += [(r["h"], teacher, label) for r in rows.collect()]
+    return pd.DataFrame(found, columns=["h", "teacher", "label"])
 
-def _metadata(t: pa.Table) -> np.ndarray:
-    return metadata_view(*_columns(t))
 
+def _hash() -> Column:
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in _COLUMNS])
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Co-trains on a bounded sample: about `labelled` documents of either label and `pool` without one.
 
-    Sampled texts are whole, of 1 to LONGEST code points; repeated ids of labels count once, with the
-    smallest label. Labels other than 0 and 1, null labels and null ids take no part. None where
-    either label is missing.
+def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, rounds: int = ROUNDS, given: int = GIVEN) -> Model | None:
+    """Co-trains on about `most` documents of either label and BYTES, and on all documents without one.
+
+    Each round scores every document and brings back `given` pseudo-labels of either label for either view
+    at most. Null and empty texts take part; repeated ids of labels count once, with the smallest label,
+    repeated ids of docs once; labels other than 0 and 1, null labels and null ids take no part. None
+    where either label is missing.
     """
-    own = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("double").alias("n_chars")).where(F.length("text").between(1, LONGEST))
+    own = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"))
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids, counts = sampled(known, "quality", labelled)
-    sample = on_driver(own.join(F.broadcast(ids), "doc_id"))  # at most about 2 * labelled ids
-    got = np.array(sample["quality"].to_pylist() if sample.num_rows else [])
-    if not {0, 1} <= set(got):
+    sample, counts = labelled(own, known, "quality", most, BYTES)
+    y = np.array(sample["quality"].to_pylist() if sample.num_rows else [], np.float64)
+    if not {0, 1} <= set(y):
         return None
-    others = max(1, docs.count() - sum(counts.values()))
-    share = F.pmod(F.xxhash64(F.lit("pool"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(pool / others)
-    free = on_driver(own.where(share).join(known, "doc_id", "left_anti"))
-    weight = np.array([counts[q] / (got == q).sum() for q in got])
-    return Model(sample, free, np.sqrt(weight / weight.mean()))
+    weight = np.array([counts[k] / (y == k).sum() for k in y])
+    aside = np.array([zlib.crc32(b"aside%d" % i) % 3 == 0 for i in sample["doc_id"].to_pylist()])
+    model = Model(_views(sample), y, np.sqrt(weight / weight.mean()), aside)
+    taken: list[list[int]] = [[], []]
+    for _ in range(rounds):
+        sure = sure_of(model, own, known, given, taken)
+        if not len(sure):
+            break
+        keys = own.sparkSession.createDataFrame(sure[["h"]].drop_duplicates())  # at most 4 * given hashes
+        rows = own.withColumn("h", _hash()).where(F.octet_length(F.coalesce("text", F.lit(""))) <= BYTES // given)
+        rows = rows.join(F.broadcast(keys), "h").groupBy("h").agg(*[F.first(c).alias(c) for c in _COLUMNS]).toArrow().sort_by("h")
+        place, views = {h: i for i, h in enumerate(rows["h"].to_pylist())}, _views(rows)
+        lessons = []
+        for learner in (0, 1):
+            own_rows = sure[(sure.teacher == 1 - learner) & sure.h.isin(place)]
+            taken[learner] += own_rows.h.tolist()
+            lessons.append((views[learner][[place[h] for h in own_rows.h]], own_rows.label.to_numpy(np.float64)))
+        model.learn(lessons)
+    return model
 
 
 def score(model: Model | None, docs: DataFrame, text: Column, lang: Column, source: Column, stated: Column) -> Column:
     """How likely a document is good, from 0 to 1; 0.5 without a model."""
     if model is None:
         return F.lit(0.5)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def rate(texts: pa.Array, langs: pa.Array, sources: pa.Array, stated: pa.Array) -> pa.Array:
-        out = []
-        step = 64
-        for i in range(0, len(texts), step):
-            out.append(held.value.score(*(a.slice(i, step) for a in (texts, langs, sources, stated))))
-        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
-
-    return F.arrow_udf(rate, T.DoubleType())(text, lang, source, stated.cast("double"))
+    return _apply(model, docs, T.DoubleType(), lambda m, z: pa.array(m.blended(z), pa.float64()), text, lang, source, stated)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, quality (0 to 1) and accepted of each row of docs.
 
     Null or empty texts have no content and are scored by what else is known; null columns count as
-    empty names and a stated length of zero; repeated rows stay. Without labels all are accepted.
+    empty names and a stated length of zero; very long texts are scored whole; repeated rows stay, equal
+    documents have equal scores; a score of ACCEPT is accepted. Without labels all are; an empty table stays empty.
     """
     model = fit(docs, labels)
-    q = score(model, docs, F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars"))
+    q = score(model, docs, *map(F.col, _COLUMNS))
     return docs.select("doc_id", q.alias("quality")).withColumn("accepted", F.col("quality") >= ACCEPT)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier accepts, with all their columns."""
+    """The rows of docs that the classifier accepts, with all their columns; nulls, empty tables and ties as for classify()."""
     model = fit(docs, labels)
-    return docs.where(score(model, docs, F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")) >= ACCEPT)
+    return docs.where(score(model, docs, *map(F.col, _COLUMNS)) >= ACCEPT)

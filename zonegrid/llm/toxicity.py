@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonegrid.llm.common import fold, on_driver, sampled
+from zonegrid.llm.common import fold, labelled, platt
 
-#: Bounds of the fit: labelled documents of either label, longest text (code points) among them.
-LABELLED, LONGEST = 4_000, 50_000
+#: Bounds of the fit: labelled documents of either label, and their bytes.
+LABELLED, BYTES = 4_000, 64 << 20
 #: Hashed rows, their size, widths of filters and filters of each width.
 ROWS, SIZE, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 8
 #: The contract's threshold; languages with fewer calibration documents of either label use it too.
@@ -174,16 +174,7 @@ class Network:
         self.table = None
         check = np.flatnonzero(aside) if len(set(y[aside])) == 2 else np.arange(len(y))
         z, t, w = self.logits([rows[i] for i in check]), y[check], weight[check]
-        high, low = ((w * t).sum() + 1) / ((w * t).sum() + 2), 1 / ((w * (1 - t)).sum() + 2)
-        goal = np.where(t > 0, high, low)  # Platt's smoothed labels
-        a, b = 1.0, 0.0
-        for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            h, e = w * p * (1 - p) + 1e-9, w * (p - goal)
-            m = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-3]])
-            step = np.linalg.solve(m, [(e * z).sum() + 1e-3 * (a - 1), e.sum()])
-            a, b = max(a - np.clip(step[0], -1, 1), 0.05), b - np.clip(step[1], -2, 2)
-        self.slope, self.shift = float(a), float(b)
+        self.slope, self.shift = platt(z, t, w)
         p = self._calibrated(z)
         named = np.array([k or "" for k in langs], object)[check]
         for k in sorted(set(named) - {""}):
@@ -221,15 +212,13 @@ class Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Network | None:
-    """Trains on a bounded sample: about `most` documents of either label, each whole.
+    """Trains on a bounded sample: about `most` documents of either label and BYTES, each whole.
 
-    Sampled texts have up to LONGEST code points; repeated ids of labels count once, with the largest
-    label; labels other than 0 and 1 and null ids take no part. None where either label is missing.
+    Null texts are empty ones. Repeated ids of labels count once, with the largest label, and repeated ids
+    of docs once; labels other than 0 and 1 and null ids take no part. None where either label is missing.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = docs.select("doc_id", "text", "lang").where(F.length("text") <= LONGEST)
-    ids, counts = sampled(known, "toxic", most)
-    sample = on_driver(own.join(F.broadcast(ids), "doc_id"))  # at most about 2 * most ids
+    sample, counts = labelled(docs.select("doc_id", "text", "lang"), known, "toxic", most, BYTES)
     y = np.array(sample["toxic"].to_pylist() if sample.num_rows else [], np.float64)
     if len(set(y)) < 2:
         return None
@@ -258,8 +247,9 @@ def score(net: Network | None, docs: DataFrame, text: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.3), lang_threshold and flagged of each row of docs.
 
-    Only labels of ids whose crc32 modulo mod is not held are learned from. A null text scores as an
-    empty one, a null id is not held out, repeated rows stay. Scores use the text alone; flagged holds
+    Only labels of ids whose crc32 modulo mod is not held are learned from; without either label all scores
+    are 0. A null text scores as an empty one, a very long one whole, a null id is not held out, repeated
+    rows stay, an empty table stays empty, ties of score and threshold count as toxic. Scores use the text alone; flagged holds
     them against the language's own threshold (0.3 for null and for languages with few labels).
     """
     net = fit(docs, labels.where(fold(F.col("doc_id"), mod) != held))
