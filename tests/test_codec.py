@@ -86,7 +86,7 @@ def test_header():
     got, _ = read_header(io.BytesIO(header.to_bytes()))
     assert got == header and got.columns == ["A=b", "a=b__2", "A=b__3"]
     assert got.find("A=b").index == 1 and got.find("A=B") is None
-    with pytest.raises(ODValidationError, match="did you mean 'A=b'"):
+    with pytest.raises(ODValidationError, match="the likest are A=b"):
         got.table("A=c")
 
 

@@ -289,8 +289,66 @@ def test_parts_and_capabilities(spark, small):
 
     assert ODMatrix.from_parts(*small.into_parts()) == small
     assert kind(lambda: ODMatrix.from_parts(small.header, small.frame.drop("DIST"))) == "shape_mismatch"
-    assert capabilities.has_pandas_support() and capabilities.has_parquet_support() and not capabilities.has_parquet_support("no_such_engine")
-    if capabilities.has_polars_support():
+    assert capabilities.capabilities()["pandas"] and capabilities.parquet_engine() == capabilities.parquet_engine("spark") == "spark"
+    assert kind(lambda: capabilities.parquet_engine("no_such_engine")) == "invalid_od" and kind(lambda: small.to_parquet("x", parquet_engine="pyarrow")) == "invalid_od"
+    if capabilities.capabilities()["polars"]:
         assert len(small.to_polars()) == 4
     pdf = small.to_pandas(include_zero_rows=True)
     assert np.array_equal(ODMatrix.from_pandas(spark, pdf).stack(), small.stack())
+
+
+def test_absent_pairs_change(spark, small):
+    """What an expression makes of zero is there afterwards, whether or not the pair was."""
+    dense = small.stack()
+    assert np.array_equal(small.transform({"TRIPS": lambda c: c + 1}).stack(["TRIPS"])[0], dense[0] + 1)
+    assert small.transform({"TRIPS": lambda c: c * 3}).frame.count() == small.frame.count()
+    got = small.mask("DIST", F.col("TRIPS") < 5, F.col("DIST") + 2).stack()
+    assert np.array_equal(got[1], np.where(dense[0] < 5, dense[1] + 2, dense[1])) and np.array_equal(got[0], dense[0])
+    got = small.mask("DIST", F.col("Origin") == F.col("Destination"), F.lit(9.0)).stack(["DIST"])[0]
+    assert np.array_equal(got, np.where(np.eye(3), 9.0, dense[1]))
+    got = small.submatrix("TRIPS", [1, 3], [2, 3], lambda c: c * 2 + 1).stack(["TRIPS"])[0]
+    wanted = dense[0].copy()
+    wanted[np.ix_([0, 2], [1, 2])] = wanted[np.ix_([0, 2], [1, 2])] * 2 + 1
+    assert np.array_equal(got, wanted)
+
+
+def test_whole_stacks_and_aligned_tables(spark, small, am):
+    assert np.array_equal(small.set_stack(small.stack() + 1).stack(), small.stack() + 1)
+    assert kind(lambda: small.set_stack(np.zeros((1, 3, 3)))) == "shape_mismatch"
+    both = small.align(am)
+    assert both.table_defs == (*small.table_defs, *am.table_defs) and np.array_equal(both.stack(), np.concatenate([small.stack(), am.stack()]))
+    assert kind(lambda: small.align(small)) == "invalid_table_name" and small.align(small, {"TRIPS": "T2", "DIST": "D2"}).table_count == 4
+
+
+def test_one_file(spark, small, tmp_path):
+    small.to_csv(str(tmp_path / "one.csv"), one_file=True, include_zero_rows=True)
+    lines = (tmp_path / "one.csv").read_text().splitlines()
+    assert lines[0] == "Origin,Destination,TRIPS,DIST" and len(lines) == 10 and lines[1:] == sorted(lines[1:])
+    small.to_csv(str(tmp_path / "wide.csv"), one_file=True, encoding="utf-16")
+    assert (tmp_path / "wide.csv").read_text(encoding="utf-16").splitlines()[0] == lines[0]
+    small.to_parquet(str(tmp_path / "one.parquet"), one_file=True)
+    assert (tmp_path / "one.parquet").is_file() and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["one.csv", "one.parquet", "wide.csv"]
+    assert np.array_equal(ODMatrix.from_parquet(spark, str(tmp_path / "one.parquet"), IngestOptions(on_missing_od="ignore")).stack(), small.stack())
+
+
+def test_plain_text(spark):
+    from zonegrid.functions.cells import plain_text
+
+    values = [0.0, -2.0, 0.5, 12345678.5, -98765432.125, 1e22, 123456789012345680.0, 1.5e-7, -1e-300, 2.0**53, 1234567.25]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(plain_text(F.col("v"))).collect()]
+    assert got == ["0", "-2", "0.5", "12345678.5", "-98765432.125", "1" + "0" * 22, "123456789012345680", "0.00000015", "-0." + "0" * 299 + "1", "9007199254740992", "1234567.25"]
+    assert [float(g) for g in got] == values
+
+
+def test_pruned_schema(spark, small, tmp_path):
+    path = str(tmp_path / "p.mat")
+    small.write(path)
+    df = spark.read.schema("Origin long, Destination long, DIST double").format("odmat").load(path=path)
+    assert df.columns == ["Origin", "Destination", "DIST"] and df.count() == 2
+
+
+def test_bytes_of_many_zones(spark):
+    """Beyond the zones that an array on the driver may have."""
+    m = ODMatrix(ODHeader(5000, table_infos([("A", "2")])), spark.createDataFrame([(1, 5000, 2.5), (4999, 3, 7.0)], "Origin long, Destination long, A double"))
+    again = ODMatrix.from_bytes(spark, m.to_bytes())
+    assert sorted(map(tuple, again.frame.collect())) == [(1, 5000, 2.5), (4999, 3, 7.0)] and again.zone_count == 5000

@@ -8,15 +8,25 @@ import sys
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from zonegrid.errors import ODError, ODWarning, from_text, od_error
+from zonegrid.functions.cells import quoted
 from zonegrid.header import DEFAULT_BANNER, DEFAULT_RUN_ID
 from zonegrid.matrix import ODMatrix
 from zonegrid.operators.ingest import IngestOptions
 from zonegrid.sources import matfile, tabular
 from zonegrid.sources.rows import RowReader
 
+MOST_BASE = 65_535
+
+
+def _base(text: str) -> int:
+    """Any whole number that 16 bits hold."""
+    if not text.isdigit() or int(text) > MOST_BASE:
+        raise argparse.ArgumentTypeError(f"{text!r} is not from 0 to {MOST_BASE}")
+    return int(text)
+
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="zonegrid", description=__doc__)
@@ -32,7 +42,7 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("-o", "--output", required=True)
         c.add_argument("--origin-col", default="Origin")
         c.add_argument("--destination-col", default="Destination")
-        c.add_argument("--zone-base", type=int, default=1)
+        c.add_argument("--zone-base", type=_base, default=1)
         c.add_argument("--table", action="append", default=[])
         if name.startswith("to"):
             c.add_argument("--include-zero-rows", action="store_true")
@@ -74,21 +84,21 @@ def _import(spark: SparkSession, a: argparse.Namespace, text: bool) -> None:
         raise od_error("table_not_found", f"no table {unknown[0]!r} for a type code")
     options = IngestOptions(
         a.origin_col, a.destination_col, table_columns=tables, rename_columns=renames,
-        type_codes={t: by_table.get(t, codes[-1] if codes else "D") for t in final}, zone_base=a.zone_base, zone_count=a.zone_count,
+        type_codes={t: by_table.get(t, codes[-1] if codes else "D") for t in final}, zone_base=a.zone_base, most_base=MOST_BASE, whole_zones=True, zone_count=a.zone_count,
         on_duplicate_od="last" if a.allow_duplicate_od else "error", ordinal=None, on_missing_od="error" if a.strict else "warn", banner=a.banner, run_id=a.run_id,
     )
-    if text:
-        m = ODMatrix.from_csv(spark, a.file, options, sep=a.separator)
-    else:
-        from dataclasses import replace
+    m = ODMatrix.from_csv(spark, a.file, options, sep=a.separator) if text else ODMatrix.from_parquet(spark, a.file, options)
+    m.write(a.output)
 
-        from pyspark.sql import functions as F
 
-        df = spark.read.parquet(a.file)
-        if a.allow_duplicate_od:
-            df, options = df.withColumn("_line", F.monotonically_increasing_id()), replace(options, ordinal="_line")
-        m = ODMatrix.from_dataframe(df, options)
-    m.write(a.output)
+def _repeated(m: ODMatrix, tables: Sequence[str], wide: dict) -> tuple[DataFrame, list[str]]:
+    """The wide export with tables in the order asked for, as often as asked for, and the header line's names."""
+    once = list(dict.fromkeys(tables)) or list(m.table_names)
+    df = m.wide(once if tables else None, **wide)
+    keys, asked = df.columns[:2], list(tables) or once
+    place = {t: c for t, c in zip(once, df.columns[2:])}
+    columns = [quoted(place[t]).alias(f"{t}__{i}" if asked.index(t) < i else place[t]) for i, t in enumerate(asked)] if tables else [quoted(c) for c in df.columns[2:]]
+    return df.select(*keys, *columns), [*keys, *(asked if tables else m.table_names)]
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
@@ -110,12 +120,12 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         if not a.quiet:
             print(json.dumps({"zones": r["zones"], "tables": r["tables"], "rows": r["rows"]}) if a.format == "json" else f"ok: {r['zones']} zones, {r['tables']} tables, {r['rows']} rows")
     elif a.command in ("to-csv", "to-parquet"):
-        m = ODMatrix.read(spark, a.file, tables=a.table or None)
-        wide = {"origin": a.origin_col, "destination": a.destination_col, "zone_base": a.zone_base, "include_zero_rows": a.include_zero_rows}
+        m = ODMatrix.read(spark, a.file, tables=list(dict.fromkeys(a.table)) or None)
+        df, names = _repeated(m, a.table, {"origin": a.origin_col, "destination": a.destination_col, "zone_base": a.zone_base, "include_zero_rows": a.include_zero_rows, "most_base": MOST_BASE})
         if a.command == "to-csv":
-            m.to_csv(a.output, a.table or None, sep=a.separator, integral=True, **wide)
-        else:
-            m.to_parquet(a.output, a.table or None, compression=a.compression, **wide)
+            tabular.to_csv(df, a.output, sep=a.separator, integral=True, one_file=True, names=names)
+        else:  # a repeated table has the suffix of its place, as Parquet's columns differ
+            tabular.to_parquet(df, a.output, compression=a.compression, one_file=True)
     else:
         _import(spark, a, a.command == "from-csv")
     return 0

@@ -51,6 +51,13 @@ def quantised(value: Column, code: object, origin: Column | str = "Origin") -> C
 
 
 def plain_text(value: Column) -> Column:
-    """A value as text, whole numbers without a fraction (up to 2**53, where doubles stop being exact)."""
+    """A value as the shortest decimal that gives it back, without an exponent; whole numbers have no fraction."""
     whole = (F.abs(value) < F.lit(float(2**53))) & (value == F.floor(value))
-    return F.when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))
+    short = F.abs(value).cast("string")
+    first, rest = F.substring(short, 1, 1), F.regexp_replace(F.regexp_extract(short, r"^\d\.(\d+)E", 1), "^0$", "")
+    exponent = F.regexp_extract(short, r"E(-?\d+)$", 1).try_cast("int")
+    digits = F.concat(first, rest)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    large = F.when(F.length(rest) <= exponent, F.concat(digits, F.repeat(F.lit("0"), exponent - F.length(rest)))).otherwise(F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.length(digits))))
+    spelt = F.concat(F.when(value < 0, "-").otherwise(""), F.when(exponent < 0, small).otherwise(large))
+    return F.when(whole, value.cast("long").cast("string")).when(short.contains("E"), spelt).otherwise(value.cast("string"))

@@ -36,8 +36,43 @@ class TableInfo:
     column: str = ""
 
 
+class TypeCode:
+    """Type codes by what they mean; each is the token that files hold."""
+
+    float32, float64 = "S", "D"
+    parse = staticmethod(type_code)
+
+    @staticmethod
+    def fixed(decimals: int) -> str:
+        """Fixed point with 0 to 9 decimals."""
+        if isinstance(decimals, bool) or not isinstance(decimals, int) or not 0 <= decimals <= 9:
+            raise od_error("invalid_type_code", f"decimals are from 0 to 9, not {decimals!r}")
+        return str(decimals)
+
+
+@dataclass(frozen=True)
+class TableSpec:
+    """A table to be made: a name that isn't blank, and a type code's token."""
+
+    name: str
+    code: str = "D"
+
+    def __post_init__(self) -> None:
+        if not isinstance(self.name, str) or not self.name.strip():
+            raise od_error("invalid_table_name", f"{self.name!r} is blank or no string")
+        object.__setattr__(self, "code", type_code(self.code))
+
+    def __iter__(self):
+        return iter((self.name, self.code))
+
+
+def table(name: str, code: object = "D") -> TableSpec:
+    """A table to be made, by name and type code in any form."""
+    return TableSpec(name, code)  # type: ignore[arg-type]
+
+
 def table_infos(specs: Iterable[object]) -> tuple[TableInfo, ...]:
-    """Tables from TableInfos, (name, code) pairs or names (float64), with columns that Spark can tell apart.
+    """Tables from TableInfos, TableSpecs, (name, code) pairs or names (float64), with columns that Spark can tell apart.
 
     A name that another one equals but for case gets a suffix: T, T__2.
     """
@@ -98,7 +133,7 @@ class ODHeader:
                 raise od_error("table_index_out_of_range", f"{key} of {self.table_count} tables")
             return self.tables[key]
         if (found := self.find(key)) is None:
-            raise od_error("table_not_found", _suggested(key, self.names))
+            raise od_error("table_not_found", _unknown(key, self.names))
         return found
 
     def select(self, keys: Sequence[str | int] | str | int | None) -> list[TableInfo]:
@@ -147,10 +182,11 @@ class ODHeader:
         return b"".join(struct.pack("<I", len(r) + 4) + r for r in records)
 
 
-def _suggested(name: str, names: Sequence[str]) -> str:
-    close = difflib.get_close_matches(name, names, n=1, cutoff=0.6)
-    shown = ", ".join(names[:8]) + (", ..." if len(names) > 8 else "")
-    return f"no table {name!r}" + (f"; did you mean {close[0]!r}?" if close else f"; there are {shown}")
+def _unknown(wanted: str, names: Sequence[str]) -> str:
+    """What to say of a name that no table has: the tables by likeness to it, the likest first."""
+    likeness = {n: difflib.SequenceMatcher(None, wanted.lower(), n.lower()).ratio() for n in names}
+    ranked = sorted(likeness, key=lambda n: (-likeness[n], n))[:5]
+    return f"{wanted!r} is none of the {len(names)} tables; the likest are {', '.join(ranked)}"
 
 
 def _text(payload: bytes) -> str:

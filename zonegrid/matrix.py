@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonegrid import codec
 from zonegrid.errors import od_error
 from zonegrid.functions.cells import quantised, quoted
 from zonegrid.header import DEFAULT_BANNER, DEFAULT_RUN_ID, ODHeader, TableInfo, table_infos
@@ -83,8 +82,8 @@ class ODMatrix:
         return cls(*tabular.from_csv(spark, path, options, **read))
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, path: str, options: IngestOptions = IngestOptions(), columns: Sequence[str] | None = None) -> ODMatrix:
-        return cls(*tabular.from_parquet(spark, path, options, columns=columns))
+    def from_parquet(cls, spark: SparkSession, path: str, options: IngestOptions = IngestOptions(), columns: Sequence[str] | None = None, parquet_engine: str = "auto") -> ODMatrix:
+        return cls(*tabular.from_parquet(spark, path, options, columns=columns, engine=parquet_engine))
 
     @classmethod
     def from_arrays(cls, spark: SparkSession, arrays: Mapping[str, np.ndarray], codes: Mapping[str, object] | None = None, **header: str) -> ODMatrix:
@@ -263,12 +262,19 @@ class ODMatrix:
     def _column(self, key: str | int) -> str:
         return self.header.table(key).column
 
+    def _changed(self, changes: Mapping[str, Column | Callable[[Column], Column]], dense: bool, where: Column | None = None) -> ODMatrix:
+        if dense:
+            return self._with(updates.transformed(self.frame, changes, self.zone_count))
+        return self._with(updates.changed(self.frame, changes, self.zone_count, where))
+
     def transform(self, changes: Mapping[str | int, Callable[[Column], Column]], dense: bool = False) -> ODMatrix:
-        """Tables changed cell by cell; dense for changes that make zero something else."""
-        return self._with(updates.transformed(self.frame, {self._column(k): f for k, f in changes.items()}, self.zone_count if dense else None))
+        """Tables changed cell by cell, absent pairs included where their zeros become something else; dense keeps every pair."""
+        return self._changed({self._column(k): f for k, f in changes.items()}, dense)
 
     def mask(self, key: str | int, where: Column, value: Column, dense: bool = False) -> ODMatrix:
-        return self._with(updates.masked(self.frame, self._column(key), where, value, self.zone_count if dense else None))
+        """A table's cells replaced where a condition holds, absent pairs included."""
+        column = self._column(key)
+        return self._changed({column: F.when(where, value).otherwise(quoted(column))}, dense)
 
     def clamp(self, key: str | int, low: float = 0.0) -> ODMatrix:
         frame = self.dense() if low > 0 else self.frame
@@ -278,8 +284,11 @@ class ODMatrix:
         return self._with(updates.filled(self.frame, self._column(key), value, self.zone_count))
 
     def submatrix(self, key: str | int, origins: Sequence[int], destinations: Sequence[int], change: Callable[[Column], Column], dense: bool = False) -> ODMatrix:
+        """A block of origins by destinations changed, absent pairs included."""
         self._zone(*origins, *destinations)
-        return self._with(updates.submatrix(self.frame, self._column(key), origins, destinations, change, self.zone_count if dense else None))
+        column = self._column(key)
+        inside = F.col("Origin").isin(list(origins)) & F.col("Destination").isin(list(destinations))
+        return self._changed({column: F.when(inside, change(quoted(column))).otherwise(quoted(column))}, dense, inside)
 
     def set(self, key: str | int, origin: int, destination: int, value: float) -> ODMatrix:
         self._zone(origin, destination)
@@ -302,6 +311,25 @@ class ODMatrix:
             cells = self.frame.sparkSession.createDataFrame(rows, "Origin long, Destination long, value double")
         return self._with(updates.replaced(self.frame, self._column(key), cells))
 
+    def set_stack(self, cells: DataFrame | np.ndarray) -> ODMatrix:
+        """All tables at once, from a wide relation with their columns or from an array (table, origin, destination)."""
+        if isinstance(cells, np.ndarray):
+            if cells.shape != (self.table_count, self.zone_count, self.zone_count):
+                raise od_error("shape_mismatch", f"{cells.shape} for {self.table_count} tables of {self.zone_count} zones")
+            o, d = np.nonzero((cells != 0).any(axis=0))
+            rows = [(int(i) + 1, int(j) + 1, *map(float, cells[:, i, j])) for i, j in zip(o, d)]
+            return self._with(self.frame.sparkSession.createDataFrame(rows, matfile.wide_schema(self.header.tables)))
+        return ODMatrix.from_parts(self.header, cells)
+
+    def align(self, other: ODMatrix, rename: Mapping[str, str] | None = None) -> ODMatrix:
+        """Both matrices' tables in one, by pair; rename is for tables of the other that this one has too."""
+        if other.zone_count != self.zone_count:
+            raise od_error("zone_count_mismatch", f"{other.zone_count} zones beside {self.zone_count}")
+        new = [(rename or {}).get(t.name, t.name) for t in other.header.tables]
+        tables = table_infos([*self.header.tables, *zip(new, (t.code for t in other.header.tables))])
+        right = other.frame.toDF(*reshape.KEYS, *new)
+        return ODMatrix(replace(self.header, tables=tables), reshape.aligned(self.frame, right))
+
     def reindex_zones(self, keep: Sequence[int], basis: str = "zone") -> ODMatrix:
         return ODMatrix(replace(self.header, zone_count=len(list(keep))), reshape.reindexed(self.frame, keep, self.zone_count, basis))
 
@@ -316,29 +344,35 @@ class ODMatrix:
         self.header.checked()
         matfile.register(self.frame.sparkSession)
         parts = partitions or max(1, min(self.zone_count, math.ceil(self.zone_count * self.zone_count * self.table_count / matfile.TASK)))
-        df = self.frame.toDF(*reshape.KEYS, *[f"c{i}" for i in range(self.table_count)]).repartition(parts, "Origin")
+        df = self.frame.toDF(*reshape.KEYS, *[f"c{i}" for i in range(self.table_count)]).repartitionByRange(parts, "Origin")
         # Tables travel under plain names, so that equal and odd ones reach the header as they are.
         names = json.dumps([[t.name, t.code] for t in self.header.tables])
         df.write.format("odmat").mode("append").options(path=path, zone_count=str(self.zone_count), tables_written=names, banner=self.banner, run_id=self.run_id).save()
 
     def to_bytes(self) -> bytes:
-        """The matrix file's bytes on the driver, origin by origin."""
+        """The matrix file's bytes on the driver: origins are encoded in tasks and come one partition at a time, in order."""
         self.header.checked()
-        stack = self.stack()
-        rows = (codec.record(o + 1, t.index, codec.encode(stack[i, o], t.code)) for o in range(self.zone_count) for i, t in enumerate(self.header.tables))
-        return self.header.to_bytes() + b"".join(rows)
-
-    def to_csv(self, path: str, tables: Sequence[str | int] | None = None, *, sep: str = ",", encoding: str = "utf-8", quotechar: str = '"', integral: bool = False, **options: object) -> None:
-        tabular.to_csv(self.wide(tables, **options), path, sep=sep, encoding=encoding, quotechar=quotechar, integral=integral)
-
-    def to_parquet(self, path: str, tables: Sequence[str | int] | None = None, *, compression: str = "snappy", **options: object) -> None:
-        tabular.to_parquet(self.wide(tables, **options), path, compression=compression)
-
-    def to_csv_long(self, path: str, **options: object) -> None:
-        tabular.to_csv(self.long(**options), path)
-
-    def to_parquet_long(self, path: str, **options: object) -> None:
-        tabular.to_parquet(self.long(**options), path)
+        df = self.frame.toDF(*reshape.KEYS, *[f"c{i}" for i in range(self.table_count)])
+        parts = max(1, math.ceil(self.zone_count * self.zone_count * self.table_count / matfile.TASK))
+        encoded = matfile.encoded_origins(df.repartitionByRange(parts, "Origin"), self.header)
+        out, zero, done = [self.header.to_bytes()], matfile.zero_rows(self.header), 0
+        for r in encoded.orderBy("origin").toLocalIterator():
+            out += [zero(o) for o in range(done + 1, r["origin"])] + [bytes(r["rows"])]
+            done = r["origin"]
+        return b"".join(out + [zero(o) for o in range(done + 1, self.zone_count + 1)])
+
+    def to_csv(self, path: str, tables: Sequence[str | int] | None = None, *, sep: str = ",", encoding: str = "utf-8", quotechar: str = '"', integral: bool = False, one_file: bool = False, **options: object) -> None:
+        """The wide export as a folder of CSV files in order, or as one file at the path."""
+        tabular.to_csv(self.wide(tables, **options), path, sep=sep, encoding=encoding, quotechar=quotechar, integral=integral, one_file=one_file)
+
+    def to_parquet(self, path: str, tables: Sequence[str | int] | None = None, *, compression: str = "snappy", one_file: bool = False, parquet_engine: str = "auto", **options: object) -> None:
+        tabular.to_parquet(self.wide(tables, **options), path, compression=compression, one_file=one_file, engine=parquet_engine)
+
+    def to_csv_long(self, path: str, *, one_file: bool = False, **options: object) -> None:
+        tabular.to_csv(self.long(**options), path, one_file=one_file)
+
+    def to_parquet_long(self, path: str, *, one_file: bool = False, parquet_engine: str = "auto", **options: object) -> None:
+        tabular.to_parquet(self.long(**options), path, one_file=one_file, engine=parquet_engine)
 
     def to_pandas(self, tables: Sequence[str | int] | None = None, **options: object):
         return self.wide(tables, **options).toPandas()

@@ -17,14 +17,17 @@ from pyspark.sql import types as T
 from zonegrid.errors import ODWarning, od_error
 from zonegrid.functions.cells import any_nonzero, quoted
 from zonegrid.header import DEFAULT_BANNER, DEFAULT_RUN_ID, ODHeader, TableInfo, table_infos, type_code
-from zonegrid.operators.reshape import KEYS, grid
+from zonegrid.operators.reshape import KEYS, checked_base, grid
 
 PREVIEW = 8
 
 
 @dataclass(frozen=True)
 class IngestOptions:
-    """How a table is taken in. on_duplicate_od is error, or last (by the column `ordinal`)."""
+    """How a table is taken in. on_duplicate_od is error, or last (by the column `ordinal`).
+
+    most_base is the largest zone_base allowed; with whole_zones, zones in text are digits only (no 2.0).
+    """
 
     origin_col: str = "Origin"
     destination_col: str = "Destination"
@@ -33,6 +36,8 @@ class IngestOptions:
     rename_columns: Mapping[str, str] = field(default_factory=dict)
     type_codes: Mapping[str, object] = field(default_factory=dict)
     zone_base: int = 1
+    most_base: int = 1
+    whole_zones: bool = False
     zone_count: int | None = None
     strict_zone_range: bool = True
     include_zero_rows: bool = True
@@ -57,7 +62,7 @@ def _tables(df: DataFrame, o: IngestOptions) -> tuple[list[str], tuple[TableInfo
             raise od_error("invalid_od", "key columns need names")
     if o.origin_col == o.destination_col:
         raise od_error("invalid_od", "origin and destination are the same column")
-    _one_of("zone_base", o.zone_base, (0, 1))
+    checked_base(o.zone_base, o.most_base)
     if o.zone_count is not None and (isinstance(o.zone_count, bool) or not isinstance(o.zone_count, int) or o.zone_count < 1):
         raise od_error("invalid_zone_count", f"{o.zone_count!r}")
     _one_of("on_duplicate_od", o.on_duplicate_od, ("error", "last"))
@@ -90,12 +95,15 @@ def _tables(df: DataFrame, o: IngestOptions) -> tuple[list[str], tuple[TableInfo
     return columns, table_infos(list(zip(names, codes)))
 
 
-def _zone(column: Column, kind: T.DataType) -> tuple[Column, Column]:
-    """A zone as a long, and whether it isn't one: whole finite numbers are, in text too; booleans are not."""
+def _zone(column: Column, kind: T.DataType, whole: bool = False) -> tuple[Column, Column]:
+    """A zone as a long, and whether it isn't one: whole finite numbers are, in text too (with whole, digits only); booleans are not."""
     if isinstance(kind, T.BooleanType):
         return F.lit(None).cast("long"), F.lit(True)
     if isinstance(kind, T.IntegralType):
         return column.cast("long"), column.isNull()
+    if whole and isinstance(kind, T.StringType):
+        number = F.when(F.btrim(column).rlike(r"^\+?[0-9]+$"), F.btrim(column)).try_cast("long")
+        return number, number.isNull()
     number = column.try_cast("double")
     sound = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < F.lit(float(2**53))) & (number == F.floor(number))
     return F.when(sound, number).cast("long"), ~F.coalesce(sound, F.lit(False))
@@ -115,8 +123,8 @@ def ingest(df: DataFrame, options: IngestOptions = IngestOptions()) -> tuple[ODH
     o = options
     columns, tables = _tables(df, o)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    origin, bad_origin = _zone(quoted(o.origin_col), kinds[o.origin_col])
-    destination, bad_destination = _zone(quoted(o.destination_col), kinds[o.destination_col])
+    origin, bad_origin = _zone(quoted(o.origin_col), kinds[o.origin_col], o.whole_zones)
+    destination, bad_destination = _zone(quoted(o.destination_col), kinds[o.destination_col], o.whole_zones)
     cells = [_cell(quoted(c), kinds[c]) for c in columns]
     shift = F.lit(1 - o.zone_base)
     rows = df.select(
@@ -128,14 +136,21 @@ def ingest(df: DataFrame, options: IngestOptions = IngestOptions()) -> tuple[ODH
     )
     if not o.include_zero_rows:
         rows = rows.where(any_nonzero([t.column for t in tables]) | F.col("_bad_zone") | (F.col("_bad_cell") > 0))
-    pair = F.struct(*KEYS)
-    found = rows.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(F.col("_bad_zone").cast("long")).alias("bad_zones"),
+    # One pass by pair; every check and the result come from what it leaves.
+    cells_of = F.struct(*[quoted(t.column) for t in tables])
+    pairs = _held(rows.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(F.col("_bad_zone").cast("long")).alias("_bad_zones"),
+        F.max("_bad_cell").alias("_bad_cell"),
+        (F.max_by(cells_of, "_ordinal") if o.ordinal else F.first(cells_of)).alias("_cells"),
+    ))
+    found = pairs.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
+        F.sum("_bad_zones").alias("bad_zones"),
         F.max("_bad_cell").alias("bad_cell"),
         F.min(F.least(*KEYS)).alias("low"),
         F.max(F.greatest(*KEYS)).alias("high"),
-        F.count_distinct(pair).alias("pairs"),
+        F.count(F.lit(1)).alias("pairs"),
     ).first()
     if found["bad_zones"]:
         raise od_error("invalid_od", f"{found['bad_zones']} rows have a zone that isn't a whole number")
@@ -152,21 +167,28 @@ def ingest(df: DataFrame, options: IngestOptions = IngestOptions()) -> tuple[ODH
         zones = found["high"]
     if found["pairs"] < found["rows"]:
         if o.on_duplicate_od == "error":
-            twice = rows.groupBy(*KEYS).count().where("count > 1").orderBy(*KEYS).limit(PREVIEW + 1).collect()
+            twice = pairs.where("_n > 1").select(*KEYS).orderBy(*KEYS).limit(PREVIEW + 1).collect()
             shown = ", ".join(f"({r[0] - 1 + o.zone_base}, {r[1] - 1 + o.zone_base})" for r in twice[:PREVIEW])
             raise od_error("duplicate_od", f"pairs occur more than once: {shown}{', ...' if len(twice) > PREVIEW else ''}")
-        rows = last_of_each(rows, [t.column for t in tables])
     header = ODHeader(zones, tables, o.banner, o.run_id).checked()
     missing = zones * zones - found["pairs"]
     if missing and o.on_missing_od != "ignore":
         message = f"{missing} of {zones * zones} pairs are missing"
         if o.on_missing_od == "warn" and o.missing_warning_limit > 0:
-            some = missing_pairs(rows, zones).limit(o.missing_warning_limit).collect()
+            some = missing_pairs(pairs, zones).limit(o.missing_warning_limit).collect()
             message += ", such as " + ", ".join(f"({r[0] - 1 + o.zone_base}, {r[1] - 1 + o.zone_base})" for r in some)
         if o.on_missing_od == "error":
             raise od_error("missing_od", message)
         warnings.warn(message + "; they are taken as 0", ODWarning, stacklevel=3)
-    return header, rows.select(*KEYS, *[quoted(t.column) for t in tables])
+    return header, pairs.select(*KEYS, *[F.col("_cells")[t.column].alias(t.column) for t in tables])
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """df written to the folder for checkpoints where a session has one, so that no later step parses its source again."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None and (folder := sc.getConf().get("spark.checkpoint.dir")):
+        sc.setCheckpointDir(folder)
+    return df.checkpoint() if sc.getCheckpointDir() is not None else df
 
 
 def last_of_each(rows: DataFrame, columns: Sequence[str], ordinal: str = "_ordinal") -> DataFrame:

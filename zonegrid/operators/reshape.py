@@ -27,10 +27,20 @@ def grid(spark: SparkSession, zones: int) -> DataFrame:
 
 
 def densify(wide: DataFrame, zones: int) -> DataFrame:
-    """wide with every pair of zones; what is missing is 0.0, NaN stays."""
+    """wide with every pair of zones; what is missing is 0.0, NaN stays.
+
+    Rows meet by origin, and each origin's missing destinations are made where its rows are: only what
+    is there is shuffled, not the grid.
+    """
     tables = [c for c in wide.columns if c not in KEYS]
-    full = grid(wide.sparkSession, zones).join(wide, KEYS, "left")
-    return full.select(*KEYS, *[F.coalesce(quoted(c), F.lit(0.0)).alias(c) for c in tables])
+    cells = [F.coalesce(quoted(c), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(tables)]
+    there = wide.groupBy("Origin").agg(F.collect_list(F.struct(F.col("Destination").cast("long").alias("d"), *cells)).alias("there"))
+    origins = wide.sparkSession.range(1, zones + 1).select(F.col("id").alias("Origin")).join(there, "Origin", "left")
+    every = F.sequence(F.lit(1).cast("long"), F.lit(zones).cast("long"))
+    missing = F.array_except(every, F.coalesce(F.transform("there", lambda x: x["d"]), F.array().cast("array<bigint>")))
+    zeros = F.transform(missing, lambda d: F.struct(d.alias("d"), *[F.lit(0.0).alias(f"c{i}") for i in range(len(tables))]))
+    rows = origins.select("Origin", F.explode(F.when(F.col("there").isNull(), zeros).otherwise(F.concat("there", zeros))).alias("x"))
+    return rows.where(F.col("x.d").between(1, zones)).select("Origin", F.col("x.d").alias("Destination"), *[F.col(f"x.c{i}").alias(c) for i, c in enumerate(tables)])
 
 
 def nonzero(wide: DataFrame, tables: Sequence[str] | None = None) -> DataFrame:
@@ -38,11 +48,18 @@ def nonzero(wide: DataFrame, tables: Sequence[str] | None = None) -> DataFrame:
     return wide.where(any_nonzero(tables if tables is not None else [c for c in wide.columns if c not in KEYS]))
 
 
-def shifted(wide: DataFrame, zone_base: int) -> DataFrame:
-    """Zones counted from zone_base instead of 1."""
-    if isinstance(zone_base, bool) or zone_base not in (0, 1):
-        raise od_error("invalid_od", f"zone_base is 0 or 1, not {zone_base!r}")
-    return wide if zone_base == 1 else wide.select(*[(F.col(c) - 1).alias(c) for c in KEYS], *[quoted(c) for c in wide.columns if c not in KEYS])
+def checked_base(zone_base: int, most: int = 1) -> int:
+    """zone_base, if it is a whole number from 0 to `most`."""
+    if isinstance(zone_base, bool) or not isinstance(zone_base, int) or not 0 <= zone_base <= most:
+        raise od_error("invalid_od", f"zone_base is from 0 to {most}, not {zone_base!r}")
+    return zone_base
+
+
+def shifted(wide: DataFrame, zone_base: int, most: int = 1) -> DataFrame:
+    """Zones counted from zone_base, `most` at the utmost, instead of 1."""
+    if checked_base(zone_base, most) == 1:
+        return wide
+    return wide.select(*[(F.col(c) + F.lit(zone_base - 1)).alias(c) for c in KEYS], *[quoted(c) for c in wide.columns if c not in KEYS])
 
 
 def renamed(wide: DataFrame, names: Mapping[str, str], origin: str = "Origin", destination: str = "Destination") -> DataFrame:
@@ -59,12 +76,23 @@ def renamed(wide: DataFrame, names: Mapping[str, str], origin: str = "Origin", d
     return wide.toDF(*final)
 
 
-def wide(frame: DataFrame, tables: Sequence[TableInfo], zones: int, *, rename: Mapping[str, str] | None = None, origin: str = "Origin", destination: str = "Destination", zone_base: int = 1, include_zero_rows: bool = False, sort_od: bool = True) -> DataFrame:
+def wide(frame: DataFrame, tables: Sequence[TableInfo], zones: int, *, rename: Mapping[str, str] | None = None, origin: str = "Origin", destination: str = "Destination", zone_base: int = 1, include_zero_rows: bool = False, sort_od: bool = True, most_base: int = 1) -> DataFrame:
     """The wide export: chosen tables in order, zero pairs left out or all pairs, sorted by pair."""
     df = frame.select(*KEYS, *[quoted(t.column).alias(t.column) for t in tables])
     df = densify(df, zones) if include_zero_rows else nonzero(df)
     df = df.orderBy(*KEYS) if sort_od else df
-    return renamed(shifted(df, zone_base), rename or {}, origin, destination)
+    return renamed(shifted(df, zone_base, most_base), rename or {}, origin, destination)
+
+
+def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The tables of two wide relations side by side, by pair; a pair that one of them lacks has 0.0 there.
+
+    A table that both have is an error: rename one first.
+    """
+    tables = [[c for c in df.columns if c not in KEYS] for df in (left, right)]
+    if both := {c.lower() for c in tables[0]} & {c.lower() for c in tables[1]}:
+        raise od_error("invalid_table_name", f"both sides have {', '.join(sorted(both))}")
+    return left.join(right, KEYS, "full").select(*KEYS, *[F.coalesce(quoted(c), F.lit(0.0)).alias(c) for c in (*tables[0], *tables[1])])
 
 
 def include_zeros(policy: str, tables: int, zones: int, override: bool | None = None) -> bool:

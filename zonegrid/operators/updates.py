@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonegrid.functions.cells import quoted
-from zonegrid.operators.reshape import KEYS, densify
+from zonegrid.functions.cells import any_nonzero, quoted
+from zonegrid.operators.reshape import KEYS, densify, grid
 
 
 def transformed(frame: DataFrame, changes: Mapping[str, Column | Callable[[Column], Column]], zones: int | None = None) -> DataFrame:
@@ -18,6 +19,27 @@ def transformed(frame: DataFrame, changes: Mapping[str, Column | Callable[[Colum
     return df.select(*[new[c].alias(c) if c in new else quoted(c) for c in df.columns])
 
 
+def changed(frame: DataFrame, changes: Mapping[str, Column | Callable[[Column], Column]], zones: int, where: Column | None = None) -> DataFrame:
+    """transformed(), with the pairs that frame lacks and whose zeros the expressions make something else.
+
+    `where` bounds the pairs that can change. Expressions that don't look at the zones are tried on one row
+    of zeros; only if they give something else, or look at the zones, are the missing pairs gone through.
+    """
+    spark, tables = frame.sparkSession, [c for c in frame.columns if c not in KEYS]
+    zeros = [F.lit(0.0).alias(c) for c in tables]
+    try:
+        tried = transformed(spark.range(1).select(*zeros), changes).select(F.expr("true").alias("there"), any_nonzero([*changes]).alias("differs"))
+        differs = bool(tried.first()["differs"])
+    except AnalysisException:  # it looks at the zones
+        differs = True
+    own = transformed(frame, changes)
+    if not differs:
+        return own
+    pairs = grid(spark, zones)
+    missing = (pairs if where is None else pairs.where(where)).join(frame.select(*KEYS), KEYS, "left_anti").select(*KEYS, *zeros)
+    return own.unionByName(transformed(missing, changes).where(any_nonzero([*changes])))
+
+
 def masked(frame: DataFrame, table: str, where: Column, value: Column, zones: int | None = None) -> DataFrame:
     """A table's cells replaced where a condition holds. Give zones if it can hold for zero pairs."""
     return transformed(frame, {table: F.when(where, value).otherwise(quoted(table))}, zones)

@@ -12,7 +12,7 @@ from zonegrid.header import CODES, ODHeader, table_infos
 from zonegrid.matrix import ODMatrix
 from zonegrid.operators import aggregates, ingest as checks, reshape
 from zonegrid.operators.ingest import IngestOptions
-from zonegrid.plans.relations import NATION_TABLES, NATIONS, event_od, event_steps, nation_od, scratch, supplier_od, table, trips
+from zonegrid.plans.relations import HOLES, NATION_TABLES, NATIONS, event_od, event_steps, nation_od, scratch, supplier_od, table, trips
 from zonegrid.sources import matfile, tabular
 from zonegrid.streaming.accumulate import windowed_pairs
 
@@ -26,7 +26,7 @@ _TRIPS = """trips AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 _CELLS = """SELECT "Origin", "Destination", CAST(COUNT(*) AS DOUBLE) AS "TRIPS", CAST(SUM(qty) AS DOUBLE) AS "QTY", CAST(SUM(rev) AS DOUBLE) AS "REV" FROM trips"""
 FULL = f"""WITH {_TRIPS}, od AS ({_CELLS} GROUP BY 1, 2)"""
-SPARSE = f"""WITH {_TRIPS}, od AS ({_CELLS} WHERE l_quantity = 1 AND l_returnflag = 'R' GROUP BY 1, 2)"""
+SPARSE = f"""WITH {_TRIPS}, every AS ({_CELLS} GROUP BY 1, 2), od AS (SELECT * FROM every WHERE {HOLES})"""
 _GRID = f"""grid AS (SELECT CAST(o AS BIGINT) AS "Origin", CAST(d AS BIGINT) AS "Destination" FROM range(1, {NATIONS + 1}) a(o), range(1, {NATIONS + 1}) b(d))"""
 _DENSE = f"""{_GRID}, dense AS (SELECT g."Origin", g."Destination", coalesce("TRIPS", 0.0) AS "TRIPS", coalesce("QTY", 0.0) AS "QTY", coalesce("REV", 0.0) AS "REV"
   FROM grid g LEFT JOIN od ON g."Origin" = od."Origin" AND g."Destination" = od."Destination")"""
@@ -163,13 +163,11 @@ def od_reindex_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation_od(spark, sf_dir, sparse=True).select("TRIPS").reindex_zones(list(range(NATIONS - 1, -1, -1)), basis="index").frame
 
 
-@query(f"""{FULL}, other AS (SELECT {_K}, CAST(COUNT(*) AS DOUBLE) AS "RETURNED" FROM trips WHERE l_quantity = 1 AND l_returnflag = 'R' GROUP BY 1, 2)
+@query(f"""{FULL}, other AS (SELECT {_K}, "TRIPS" AS "RETURNED" FROM od WHERE {HOLES})
 SELECT coalesce(od."Origin", other."Origin") AS "Origin", coalesce(od."Destination", other."Destination") AS "Destination", coalesce("TRIPS", 0.0) AS "TRIPS", coalesce("RETURNED", 0.0) AS "RETURNED"
 FROM od FULL JOIN other ON od."Origin" = other."Origin" AND od."Destination" = other."Destination\"""")
 def od_align_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = nation_od(spark, sf_dir).frame.select("Origin", "Destination", "TRIPS")
-    right = nation_od(spark, sf_dir, sparse=True).frame.select("Origin", "Destination", F.col("TRIPS").alias("RETURNED"))
-    return left.join(right, reshape.KEYS, "full").select("Origin", "Destination", F.coalesce("TRIPS", F.lit(0.0)).alias("TRIPS"), F.coalesce("RETURNED", F.lit(0.0)).alias("RETURNED"))
+    return nation_od(spark, sf_dir).select("TRIPS").align(nation_od(spark, sf_dir, sparse=True).select("TRIPS"), {"TRIPS": "RETURNED"}).frame
 
 
 @query("""SELECT CAST(1 AS INTEGER) AS table_index, 'TRIPS' AS "table", '0' AS type_code UNION ALL SELECT 2, 'QTY', '2' UNION ALL SELECT 3, 'REV', 'D'""")
@@ -195,7 +193,7 @@ def od_mask_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation_od(spark, sf_dir).select(["QTY", "TRIPS"]).mask("QTY", F.col("TRIPS") > 5, F.col("QTY") * 0.5).frame
 
 
-@query(f"""{FULL} SELECT {_K}, greatest("QTY" - 200.0, 0.0) AS "QTY" FROM od""")
+@query(f"""{FULL}, {_DENSE} SELECT {_K}, greatest("QTY" - 200.0, 0.0) AS "QTY" FROM dense""")
 def od_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation_od(spark, sf_dir).select("QTY").transform({"QTY": lambda c: c - 200.0}).clamp("QTY").frame
 
@@ -279,9 +277,9 @@ def od_missing_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.pair_counts(nation_od(spark, sf_dir, sparse=True).frame, NATIONS)
 
 
-@query(f"""WITH {_TRIPS} SELECT {_K}, COUNT(*) AS "count" FROM trips WHERE l_quantity = 1 AND l_returnflag = 'R' GROUP BY 1, 2 HAVING COUNT(*) > 1""")
+@query(f"""WITH {_TRIPS} SELECT {_K}, COUNT(*) AS "count" FROM trips GROUP BY 1, 2 HAVING COUNT(*) > 1""")
 def od_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.duplicate_pairs(trips(spark, sf_dir, (F.col("l_quantity") == 1) & (F.col("l_returnflag") == "R")))
+    return checks.duplicate_pairs(trips(spark, sf_dir))
 
 
 _ORDINAL = "(l_orderkey * 100 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT)"
@@ -436,8 +434,10 @@ def od_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from zonegrid.plans import interface  # noqa: F401  (registers its own)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return {name: _sql[name] for name in queries() if name in _sql}

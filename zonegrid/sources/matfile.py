@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import io
 import json
+import mmap
 import os
 import struct
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from typing import BinaryIO
 
@@ -67,19 +69,35 @@ def _in_order(header: ODHeader, origin: int, table: int, want_origin: int, want_
         raise od_error("row_order_violation", f"row {origin}, table {table} instead of {want_origin}, {want_table}", at)
 
 
+_known: dict[tuple, list[tuple[int, int, int]]] = {}
+
+
 def index(path: str, header: ODHeader, at: int, step: int) -> list[tuple[int, int, int]]:
-    """(offset, first, last origin) of parts of `step` origins, by skimming the heads of the rows."""
-    parts, size = [], os.path.getsize(path)
-    with open(path, "rb") as f:
+    """(offset, first, last origin) of parts of `step` origins, by the heads of the rows in the mapped file.
+
+    A file of one part is not looked at. The index of a file is kept as long as its size and time stay.
+    """
+    found = os.stat(path)
+    key = (path, found.st_size, found.st_mtime_ns, found.st_ino, at, step)
+    if key not in _known:
+        if len(_known) > 64:
+            _known.clear()
+        _known[key] = _indexed(path, header, at, step, found.st_size)
+    return _known[key]
+
+
+def _indexed(path: str, header: ODHeader, at: int, step: int, size: int) -> list[tuple[int, int, int]]:
+    if step >= header.zone_count or at >= size:
+        return [(at, 1, header.zone_count)]
+    parts, head = [], struct.Struct("<HBH").unpack_from
+    with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
         for origin in range(1, header.zone_count + 1):
             if (origin - 1) % step == 0:
                 parts.append((at, origin, min(origin + step - 1, header.zone_count)))
             for table in range(1, header.table_count + 1):
-                f.seek(at)
-                head = f.read(5)
-                if len(head) < 5:
+                if at + 5 > size:
                     return parts  # the task that reads so far reports it
-                got_origin, got_table, length = struct.unpack("<HBH", head)
+                got_origin, got_table, length = head(data, at)
                 if length < 2 or (got_origin, got_table) != (origin, table) or at + 3 + length > size:
                     return parts[:-1] + [(parts[-1][0], parts[-1][1], header.zone_count)]
                 at += 3 + length
@@ -160,6 +178,59 @@ class _FilteredReader(_Reader):
             yield f  # Spark applies them again
 
 
+def zero_rows(header: ODHeader):
+    """The rows of an origin whose cells are all zero."""
+    zero = [codec.encode(np.zeros(1), t.code) for t in header.tables]
+    return lambda origin: b"".join(codec.record(origin, t.index, z) for t, z in zip(header.tables, zero))
+
+
+def _copy(source: BinaryIO, target: BinaryIO, at: int, size: int) -> None:
+    """Copies bytes inside the kernel where it can, so that they don't pass through this process."""
+    target.flush()
+    source.seek(at)
+    while size:
+        try:
+            n = os.copy_file_range(source.fileno(), target.fileno(), size, offset_src=at)
+        except (AttributeError, OSError):
+            n = 0
+        if not n:
+            source.seek(at)
+            while size:
+                data = source.read(min(size, 1 << 24))
+                target.write(data)
+                size -= len(data)
+            target.flush()
+            return
+        at, size = at + n, size - n
+
+
+def _cells_by_origin(batches: Iterator[pa.RecordBatch], h: ODHeader) -> dict[int, np.ndarray]:
+    """Each origin's values (table, destination), missing pairs 0."""
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        origins, places = (np.asarray(b.column(i).cast(pa.int64())) for i in (0, 1))
+        if len(origins) and not (1 <= min(origins.min(), places.min()) and max(origins.max(), places.max()) <= h.zone_count):
+            raise od_error("invalid_row_index", f"a pair lies outside 1 to {h.zone_count}")
+        cells = np.stack([np.asarray(b.column(2 + i).fill_null(0.0)) for i in range(h.table_count)])
+        order = np.argsort(origins, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(origins[order])) + 1) if len(order) else ():
+            values = held.setdefault(int(origins[at[0]]), np.zeros((h.table_count, h.zone_count)))
+            values[:, places[at] - 1] = cells[:, at]
+    return held
+
+
+def encoded_origins(df: DataFrame, header: ODHeader) -> DataFrame:
+    """(origin, rows) for each origin of df, whose cells of one origin are in one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _cells_by_origin(batches, header)
+        for origin in sorted(held):
+            data = b"".join(codec.record(origin, t.index, codec.encode(v, t.code)) for t, v in zip(header.tables, held[origin]))
+            yield pa.RecordBatch.from_pydict({"origin": [origin], "rows": [data]}, schema=pa.schema([("origin", pa.int32()), ("rows", pa.binary())]))
+
+    return df.mapInArrow(run, "origin int, rows binary")
+
+
 class _Staged(WriterCommitMessage):
     def __init__(self, path: str, origins: list[tuple[int, int, int]]) -> None:
         self.path, self.origins = path, origins
@@ -175,19 +246,7 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.header = path, header.checked()
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        import uuid
-
-        h, held = self.header, {}
-        for b in batches:
-            origins, places = (np.asarray(b.column(i).cast(pa.int64())) for i in (0, 1))
-            if len(origins) and not (1 <= min(origins.min(), places.min()) and max(origins.max(), places.max()) <= h.zone_count):
-                raise od_error("invalid_row_index", f"a pair lies outside 1 to {h.zone_count}")
-            cells = [np.asarray(b.column(2 + i).fill_null(0.0)) for i in range(h.table_count)]
-            for origin in np.unique(origins):
-                at = origins == origin
-                values = held.setdefault(int(origin), np.zeros((h.table_count, h.zone_count)))
-                for i, c in enumerate(cells):
-                    values[i, places[at] - 1] = c[at]
+        h, held = self.header, _cells_by_origin(batches, self.header)
         staged, origins = f"{self.path}.part-{uuid.uuid4().hex}", []
         with open(staged, "wb") as f:
             for origin in sorted(held):
@@ -204,19 +263,24 @@ class _Writer(DataSourceArrowWriter):
                 if origin in where:
                     raise od_error("writer_position_mismatch", f"origin {origin} is in two tasks; repartition by Origin")
                 where[origin] = (m.path, at, size)
-        zero = [codec.encode(np.zeros(1), t.code) for t in self.header.tables]
+        zero = zero_rows(self.header)
         temporary = f"{self.path}.writing"
         files = {m.path: open(m.path, "rb") for m in parts}
         try:
             with open(temporary, "wb") as f:
                 f.write(self.header.to_bytes())
+                run: tuple[str, int, int] | None = None  # what one call copies: origins that stand together in a part
                 for origin in range(1, self.header.zone_count + 1):
-                    if origin in where:
-                        path, at, size = where[origin]
-                        files[path].seek(at)
-                        f.write(files[path].read(size))
-                    else:
-                        f.write(b"".join(codec.record(origin, t.index, z) for t, z in zip(self.header.tables, zero)))
+                    if origin in where and run is not None and (run[0], run[1] + run[2]) == where[origin][:2]:
+                        run = (run[0], run[1], run[2] + where[origin][2])
+                        continue
+                    if run is not None:
+                        _copy(files[run[0]], f, run[1], run[2])
+                    run = where.get(origin)
+                    if run is None:
+                        f.write(zero(origin))
+                if run is not None:
+                    _copy(files[run[0]], f, run[1], run[2])
         finally:
             for opened in files.values():
                 opened.close()
@@ -257,7 +321,12 @@ class MatSource(DataSource):
         return wide_schema(table_infos(chosen))
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
+        """Decodes the tables that the schema has; one that is given with fewer columns than the file's prunes them."""
         path, header, chosen, names, start = self._opened()
+        if schema.names[:2] != ["Origin", "Destination"] or set(schema.names[2:]) - set(names):
+            raise od_error("table_not_found", f"a schema is Origin, Destination and tables of {', '.join(names)}, not {', '.join(schema.names)}")
+        place = {n: t for n, t in zip(names, chosen)}
+        chosen, names = [place[c] for c in schema.names[2:]], schema.names[2:]
         kind = _FilteredReader if self.options.get("pushdown", "false").lower() == "true" else _Reader
         return kind(path, header, chosen, names, start, self.options.get("include_zeros", "false").lower() == "true")
 

@@ -51,6 +51,12 @@ class RowReader:
         self.source.seek(self._start)
         self._rewind()
 
+    def into_inner(self) -> BinaryIO:
+        """The source, standing where the last row that was read ends; the reader is done with."""
+        self.source.seek(self.position)
+        self._records = iter(())
+        return self.source
+
     def prepare_selection(self, keys: Iterable[str | int]) -> frozenset[int]:
         """Tables by name or by index from 1, for read_selected_row; repeated ones count once."""
         found = set()
@@ -152,6 +158,10 @@ class RowWriter:
     def flush(self) -> None:
         self.target.flush()
 
+    def into_inner(self) -> BinaryIO:
+        """The target as it is, whether or not every row is there."""
+        return self.target
+
     def finish(self) -> BinaryIO:
         """The target, once every row is there."""
         if self._left():
