@@ -14,6 +14,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import repeat
 from typing import BinaryIO
 
 import numpy as np
@@ -338,7 +339,11 @@ class MatSource(DataSource):
 
 
 class ReadMat:
-    """Table function read_mat(path, tables => array(...), include_zeros => true): one task, for SQL at hand."""
+    """Table function read_mat(path, tables => array(...), include_zeros => true): one task, for SQL at hand.
+
+    Spark's vectorised table functions can't tell their columns from a file, so rows are tuples; the format
+    odmat is the one for large files.
+    """
 
     @staticmethod
     def analyze(path, tables=None, include_zeros=None):
@@ -354,9 +359,8 @@ class ReadMat:
             header, start = read_header(f)
             chosen = header.narrowed(tables)[1] if tables is not None else list(header.tables)
             for origin, values in _decoded(records(f, header, start), header, chosen):
-                at = range(header.zone_count) if include_zeros else np.flatnonzero((values != 0).any(axis=0))
-                for d in at:
-                    yield (origin, int(d) + 1, *map(float, values[:, d]))
+                at = np.arange(header.zone_count) if include_zeros else np.flatnonzero((values != 0).any(axis=0))
+                yield from zip(repeat(origin), (at + 1).tolist(), *values[:, at].tolist())
 
 
 def register(spark: SparkSession) -> None:
