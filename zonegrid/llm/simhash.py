@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonegrid.llm.common import components, cut_lineage, raw_texts, spare_name, union_all
+from zonegrid.llm.common import SALTS, components, cut_lineage, join_crowded, raw_texts, spare_name, union_all
 
 SEED = 42
 #: Signatures shared by more fingerprints than this link through two-wildcard keys; pairs would cost more.
@@ -119,17 +119,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     part but never name a component (it is null where all its ids are). Repeated rows stay.
     """
     rows = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")))
-    found = cut_lineage(classes(rows))  # so that the last join stands alone, and Spark splits a crowded fingerprint's rows
-    return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = cut_lineage(classes(rows))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return join_crowded(rows, found, ["fp"], "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _salt() -> Column:
+    """So that what many tasks have found of one fingerprint does not meet in one task at once."""
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """(fp, root, component_id) of each distinct fingerprint of rows (doc_id, fp)."""
-    fps = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    """(fp, n, root, component_id) of each distinct fingerprint of rows (doc_id, fp); n rows have it."""
+    parts = rows.groupBy("fp", _salt().alias("salt")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    fps = cut_lineage(parts.groupBy("fp").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n")))
     roots = cut_lineage(components(links(fps.select("fp"))))
     linked = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
     linked = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("linked_id")), "root").select("fp", "root", "linked_id")
-    return fps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("linked_id")).alias("component_id"))
+    return fps.join(linked, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("linked_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -141,7 +148,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     own = spare_name(docs, "text_hash")
     hashed = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     rows = cut_lineage(hashed.select(F.col(doc_id).alias("doc_id"), F.col(own).alias("h"), fingerprint(F.col(text)).alias("fp")))
-    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("best"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("best")
+    best = rows.groupBy("fp", _salt().alias("salt")).agg(least).groupBy("fp").agg(F.min("best").alias("best"))
     stay = best.join(classes(rows), "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.h")
     stay = cut_lineage(stay)
     copies = rows.groupBy("doc_id", "h").count().where("count > 1").withColumnsRenamed({"doc_id": "i", "h": "g"})
