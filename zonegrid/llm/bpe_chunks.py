@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,7 @@ class Encoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(f"[^{_SPACES}]*(?:{'|'.join(map(re.escape, special))})[^{_SPACES}]*") if special else None
         self.names = {i: name for name, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.numbers = list(map(str, range(max(self.names, default=0) + 1)))
         self.words: dict[str, Encoding] = {}
         self.chunks: OrderedDict[tuple[bool, str], Chunk] = OrderedDict()
 
@@ -149,7 +151,7 @@ class Encoder:
                 carried, agreed = self._join(carried, got, plain, parts)
                 wait = 0 if agreed else 2 * len(carried)
         parts.append([w for w, _ in self._pieces(carried, plain)])
-        return self._encoded(parts)
+        return self._encoded(parts, plain)
 
     def _join(self, carried: str, chunk: Chunk, plain: bool, parts: list[list[str] | Chunk]) -> tuple[str, bool]:
         """Adds what follows from carried on to parts; what is carried on to the next join, and whether the chunk's own cuts were met."""
@@ -207,18 +209,16 @@ class Encoder:
             return [(m.group(), m.end()) for m in _PIECE.finditer(text)]
         return [(" " + mapped, end) for mapped, (_, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _encoded(self, parts: list[list[str] | Chunk]) -> list[Encoding]:
+    def _encoded(self, parts: list[list[str] | Chunk], plain: bool) -> list[Encoding]:
         """The encodings of words and chunks; all words that are not known go through the library in one call."""
         known, out = self.words, []
         wanted = [p.words if isinstance(p, Chunk) else p for p in parts]
-        new = {w: None for words in wanted for w in words or () if w not in known}
-        if new:
+        every = set(chain.from_iterable(words for words in wanted if words))
+        if new := list(every.difference(known)):
             if len(known) + len(new) > WORDS:
                 known.clear()
-                new = {w: None for words in wanted for w in words or ()}
-            plain = [w for w in new if w[0] != " "]
-            known.update(zip(plain, self._plainly(plain)) if plain else ())
-            known.update((w, self._mapped(w)) for w in new if w[0] == " ")
+                new = list(every)
+            known.update(zip(new, self._plainly(new) if plain else map(self._mapped, new)))
         for part, words in zip(parts, wanted):
             got = _joined([known[w] for w in words]) if words is not None else part.body
             if isinstance(part, Chunk) and words is not None:
@@ -228,11 +228,14 @@ class Encoder:
 
     def _plainly(self, words: list[str]) -> list[Encoding]:
         got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        by: list[tuple[list[str], list[str]]] = [([], []) for _ in words]
-        for i, token, word in zip(got.ids, got.tokens, got.word_ids):
-            by[word][0].append(str(i))
-            by[word][1].append(token)
-        return [(len(ids), " ".join(ids), " ".join(tokens)) for ids, tokens in by]
+        ids, tokens, numbers = got.ids, got.tokens, self.numbers
+        of = np.array(got.word_ids, np.int64)
+        starts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+        said = [numbers[i] for i in ids]
+        out: list[Encoding] = [(0, "", "")] * len(words)
+        for word, a, b in zip(of[starts].tolist(), starts, [*starts[1:], len(ids)]):
+            out[word] = (1, said[a], tokens[a]) if b - a == 1 else (b - a, " ".join(said[a:b]), " ".join(tokens[a:b]))
+        return out
 
     def _mapped(self, key: str) -> Encoding:
         tokens = self.tokenizer.model.tokenize(key[1:])
