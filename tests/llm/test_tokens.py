@@ -187,3 +187,52 @@ def test_given_edits(spark, counts):
     df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,end:int,text:string>>")
     got = {r["doc_id"]: r["c"] for r in df.select("doc_id", token_counts.counted(df.text, BYTES, df.edits).alias("c")).collect()}
     assert [got[i]["n_tokens_edited"] for i in (1, 2, 3, 4)] == [counts(t) for t in ("1 2 three", "abc", "new text", "abc end")]
+
+
+def test_large_insertion_splits_its_leaf(counts):
+    """Later edits near a large insertion look at small leaves; sums hold at every node."""
+    counter = token_counts.Counter(BYTES)
+    tree, text = token_counts.Tree("one two three " * 40, counter), "one two three " * 40
+    for start, end, new in [(100, 104, "word, " * 5_000), (9_000, 9_003, "x"), (50, 30_200, ""), (0, 0, "at first "), (10**9, 10**9, " at last")]:
+        tree.edit(start, end, new)
+        text = text[:start] + new + text[max(start, end) :]
+        assert (tree.text, tree.total) == (text, counts(text))
+        assert max(map(len, tree.blocks)) <= token_counts.FULL
+        for i in range(1, tree.size):
+            assert tree.chars[i] == tree.chars[2 * i] + tree.chars[2 * i + 1] and tree.tokens[i] == tree.tokens[2 * i] + tree.tokens[2 * i + 1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(text=texts, edits=st.lists(st.tuples(st.integers(0, 300), st.integers(0, 300), texts), max_size=6))
+def test_kept_trees_take_edits(counts, text, edits):
+    """A tree that is written and read again between edits gives what counting anew gives."""
+    counter = token_counts.Counter(BYTES)
+    tree = token_counts.Tree(text, counter)
+    for start, end, new in edits:
+        tree = token_counts.Tree.of_row(tree.row(), counter)
+        tree.edit(start, end, new)
+        start = min(start, len(text))
+        text = text[:start] + new + text[max(start, min(end, len(text))) :]
+        assert (tree.text, tree.total) == (text, counts(text))
+
+
+def test_table_of_trees(spark, odd_docs, no_docs, counts, tmp_path):
+    """Kept as Parquet, edited twice by tables of edits; odd rows and edits have the results that edited() names."""
+    columns = "doc_id long, start int, end int, text string"
+    token_counts.trees(odd_docs, BYTES).write.parquet(str(tmp_path / "kept"))
+    kept = spark.read.parquet(str(tmp_path / "kept"))
+    own = [(r.doc_id, r.text or "") for r in odd_docs.collect()]
+    assert sorted((r.n_tokens, r.tree.text) for r in kept.collect()) == sorted((counts(t), t) for _, t in own)
+    first = [(1, 4, 9, "very slow"), (1, 0, 3, "A"), (3, 0, 0, "now a text"), (6, 200_000, 200_004, "!!"), (9, 2, 99, None), (9, None, None, "b"), (99, 0, 1, "x"), (None, 0, 1, "x")]
+    second = [(1, 0, 1, "The"), (6, 10, 20, "other words")]
+    for k, edits in enumerate((first, second)):
+        token_counts.edited(kept, spark.createDataFrame(edits, columns), BYTES).write.parquet(str(tmp_path / f"kept{k}"))
+        kept = spark.read.parquet(str(tmp_path / f"kept{k}"))
+        for i, start, end, new in sorted(edits, key=lambda e: -(e[1] or 0)):
+            own = [(d, t[: start or 0] + (new or "") + t[end or 0 :] if d == i and d is not None else t) for d, t in own]
+        got = kept.collect()
+        assert sorted((r.n_tokens, r.tree.text) for r in got) == sorted((counts(t), t) for _, t in own)
+        touched = {e[0] for e in edits}
+        assert all((r.n_encoded == 0) if r.doc_id is None or r.doc_id not in touched else r.n_encoded < 500 for r in got)
+    assert token_counts.trees(no_docs, BYTES).count() == 0
+    assert token_counts.edited(kept, spark.createDataFrame([], columns), BYTES).agg({"n_encoded": "sum"}).first()[0] == 0

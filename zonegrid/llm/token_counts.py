@@ -4,7 +4,8 @@ A byte-level BPE encodes each pre-token by itself, so a document's count is the
 pre-tokens'. The tree's leaves are blocks of consecutive pre-tokens, its nodes sums of characters
 and tokens. An edit finds its block by descending the tree; pre-tokens are cut again from the last
 one that the edit can't have touched until a cut falls on an old one behind the edit, and only these
-are encoded; then the sums on the way up are renewed.
+are encoded; then the sums on the way up are renewed. A leaf that an insertion has made too large is
+split. trees() makes a table of trees, which edited() brings up to date with a table of edits.
 
 How far an edit reaches back: the pattern looks at two characters at most behind the end of what it
 matches (a contraction's letters, or the character after a run of white space).
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens of a leaf; characters read at a time in search of an old cut; characters looked at behind a match.
-LEAF, READ, AHEAD = 32, 256, 3
+#: Pre-tokens of a new leaf, and of one that is split; characters read at a time in search of an old cut; characters looked at behind a match.
+LEAF, FULL, READ, AHEAD = 32, 128, 256, 3
 #: Pre-tokens whose counts a task keeps.
 KEPT = 300_000
 #: The pre-tokens of byte-level BPE with this vocabulary (fixed by its format).
@@ -81,16 +82,59 @@ class Tree:
         counts = counter(pieces)
         self.blocks = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
         self.counts = [counts[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.size = 1 << (len(self.blocks) - 1).bit_length()
+        self._sum([sum(map(len, b)) for b in self.blocks], [sum(c) for c in self.counts])
+        self.encoded = 0
+
+    def _sum(self, chars: list[int], tokens: list[int]) -> None:
+        """Builds the nodes over leaves of these sums."""
+        n = len(chars)
+        self.size = 1 << (n - 1).bit_length()
         self.chars = [0] * (2 * self.size)
         self.tokens = [0] * (2 * self.size)
-        n = len(self.blocks)
-        self.chars[self.size : self.size + n] = [sum(map(len, b)) for b in self.blocks]
-        self.tokens[self.size : self.size + n] = [sum(c) for c in self.counts]
+        self.chars[self.size : self.size + n] = chars
+        self.tokens[self.size : self.size + n] = tokens
         for i in range(self.size - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
-        self.encoded = 0
+
+    def row(self) -> dict[str, object]:
+        """The tree as it is kept in a table: its text, pre-tokens' lengths and counts, leaves' sizes, and every node's sums."""
+        lengths = [len(p) for b in self.blocks for p in b]
+        counts = [c for b in self.counts for c in b]
+        return {"text": self.text, "lengths": lengths, "counts": counts, "leaves": list(map(len, self.blocks)), "chars": self.chars, "sums": self.tokens}
+
+    @classmethod
+    def of_row(cls, row: dict[str, object], counter: Counter) -> Tree:
+        """A tree from its row; nothing is cut or encoded."""
+        tree = cls.__new__(cls)
+        tree.counter, tree.encoded = counter, 0
+        tree.blocks, tree.counts = [], []
+        at = piece = 0
+        for leaf in row["leaves"]:
+            held = []
+            for length in row["lengths"][piece : piece + leaf]:
+                held.append(row["text"][at : at + length])
+                at += length
+            tree.blocks.append(held)
+            tree.counts.append(row["counts"][piece : piece + leaf])
+            piece += leaf
+        tree.chars, tree.tokens = row["chars"], row["sums"]
+        tree.size = len(tree.chars) // 2
+        return tree
+
+    def _split(self, at: int) -> None:
+        """Makes leaves of LEAF pre-tokens out of one, drops empty ones, and renews the nodes from the leaves' sums."""
+        blocks, counts, chars, tokens = [], [], [], []
+        for i, (pieces, own) in enumerate(zip(self.blocks, self.counts)):
+            step = LEAF if i == at else len(pieces) or 1
+            for k in range(0, len(pieces), step):
+                whole = step == len(pieces)
+                blocks.append(pieces[k : k + step])
+                counts.append(own[k : k + step])
+                chars.append(self.chars[self.size + i] if whole else sum(map(len, blocks[-1])))
+                tokens.append(self.tokens[self.size + i] if whole else sum(counts[-1]))
+        self.blocks, self.counts = blocks, counts
+        self._sum(chars, tokens)
 
     @property
     def total(self) -> int:
@@ -166,6 +210,8 @@ class Tree:
                 self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
                 self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
             low, high = low // 2, high // 2
+        if len(self.blocks[first]) > FULL:
+            self._split(first)
 
     def apply(self, edits: list[Edit]) -> None:
         """Applies edits whose places are all in the text as it is now; they may not overlap."""
@@ -216,3 +262,55 @@ def counted(text: Column, path: str, edits: Column | None = None) -> Column:
 def report(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the counts of each row of docs before and after redaction."""
     return docs.select("doc_id", counted(F.col("text"), path).alias("c")).select("doc_id", "c.*")
+
+
+#: A tree as a column; the second of its sums is the whole text's token count.
+TREE = T.StructType([T.StructField("text", T.StringType()), *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("lengths", "counts", "leaves")], *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("chars", "sums")]])
+_TREE = pa.struct([("text", pa.string()), *[(n, pa.list_(pa.int32())) for n in ("lengths", "counts", "leaves")], *[(n, pa.list_(pa.int64())) for n in ("chars", "sums")]])
+
+
+def trees(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens and tree of each row of docs, to be written as a table and kept up to date by edited().
+
+    A null text is an empty one, whose tree has one empty leaf; a very long text is one tree; null and
+    repeated ids are carried, other columns are not, an empty table stays empty.
+    """
+
+    def build(texts: pa.Array) -> pa.Array:
+        own = _counter(path)
+        return pa.array([Tree(t.as_py() or "", own).row() for t in texts], _TREE)
+
+    return _with_counts(docs.select("doc_id", F.arrow_udf(build, TREE)(F.col("text")).alias("tree")))
+
+
+def edited(kept: DataFrame, edits: DataFrame, path: str) -> DataFrame:
+    """The table of trees after a table of edits (doc_id, start, end, text), with n_encoded: the pre-tokens encoded for it.
+
+    Places are code points of the text as kept; those beyond it count as its end, nulls as 0, 0 and ''. A
+    document's edits go from its end to its start, those of one place in falling order of their ends, then
+    rising order of their texts; repeated edits are applied as often as they stand. Edits of a null or an
+    unknown id change nothing; edits of a repeated id change each of its trees. Only trees with edits reach
+    Python. One document's edits are held together, as its tree is.
+    """
+    edit = F.struct(F.coalesce("start", F.lit(0)).cast("int").alias("start"), F.coalesce("end", F.lit(0)).cast("int").alias("end"), F.coalesce("text", F.lit("")).alias("text"))
+    by_doc = edits.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_list(edit)).alias("edits"))
+    kind = T.StructType([T.StructField("tree", TREE), T.StructField("n_encoded", T.LongType())])
+
+    def renew(rows: pa.Array, changes: pa.Array) -> pa.Array:
+        own, out = _counter(path), []
+        for row, change in zip(rows, changes):
+            if not row.is_valid:
+                out.append(None)
+                continue
+            tree = Tree.of_row(row.as_py(), own)
+            tree.apply([(e["start"], e["end"], e["text"]) for e in change.as_py()])
+            out.append({"tree": tree.row(), "n_encoded": tree.encoded})
+        return pa.array(out, pa.struct([("tree", _TREE), ("n_encoded", pa.int64())]))
+
+    touched = F.when(F.col("edits").isNotNull(), F.col("tree"))
+    new = kept.select("doc_id", "tree").join(by_doc, "doc_id", "left").withColumn("new", F.arrow_udf(renew, kind)(touched, F.col("edits")))
+    return _with_counts(new.select("doc_id", F.coalesce("new.tree", "tree").alias("tree"), F.coalesce("new.n_encoded", F.lit(0)).alias("n_encoded")))
+
+
+def _with_counts(kept: DataFrame) -> DataFrame:
+    return kept.select("doc_id", F.element_at("tree.sums", 2).alias("n_tokens"), *[c for c in kept.columns if c != "doc_id"])
