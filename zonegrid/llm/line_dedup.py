@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonegrid.llm.common import cut_lineage, join_small, spare_name
+from zonegrid.llm.common import SALTS, cut_lineage, join_small, spare_name
 
 #: Sites on which a line is boilerplate; half-width of the band that is counted exactly, as a share and at least.
 SITES, BAND, LEAST_BAND = 10, 0.15, 2
@@ -61,9 +61,10 @@ def _marked(docs: DataFrame, bad: DataFrame, hashes: str, gone: str) -> DataFram
     if len(held) <= INLINE:
         return docs.withColumn(gone, F.expr(f"transform(`{hashes}`, h -> coalesce(h IN ({', '.join(f'{h}L' if h > -(1 << 63) else 'CAST(-9223372036854775808 AS BIGINT)' for h in held)}), false))"))
     key, found = (spare_name(docs, n) for n in ("doc_key", "doc_found"))
-    named = docs.withColumn(key, F.coalesce(F.col("doc_id"), F.xxhash64("text")))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    named = docs.withColumn(key, F.xxhash64("text", salt))  # a text tells its lines; copies of it are dealt out by id
     marked = join_small(_lines_of(named, F.col(key)), bad, ["line"], HASHES, F.col(key), "left_semi")
-    marks = cut_lineage(marked.groupBy(key).agg(F.collect_set("line").alias(found)))  # of no more lines than a row of that key holds
+    marks = cut_lineage(marked.groupBy(key).agg(F.collect_set("line").alias(found)))  # no more lines than the text has
     both = named.join(marks, key, "left")
     return both.withColumn(gone, F.transform(hashes, lambda h: F.coalesce(F.array_contains(F.col(found), h), F.lit(False)))).drop(key, found)
 
