@@ -253,7 +253,7 @@ def test_exchange_by_brute_force(spark, docs, labels):
             for label in (0, 1):
                 sure = free & (z[:, teacher] >= limit if label else z[:, teacher] <= -limit)
                 wanted = sorted(set(h[sure].tolist()) - set(taken[1 - teacher]))[:25]
-                assert got[(got.teacher == teacher) & (got.label == label)].h.tolist() == wanted
+                assert [x for x, t, k in got if (t, k) == (teacher, label)] == wanted
 
 
 def test_score_is_the_blend(docs, labels):

@@ -30,9 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonegrid.llm.common import text_udf
+
 #: Characters the rolling hash sees, and the mean length of a chunk; chunks and words a task keeps.
 SEEN, MEAN = 12, 1024
-CHUNKS, WORDS = 4_096, 250_000
+CHUNKS, WORDS = 4_096, 150_000
 #: Characters of a chunk that a join looks at first; characters looked at behind a pre-token (a contraction's letters).
 HEAD, AHEAD = 48, 3
 #: The parts of a tokenizer file that the chunks rest on (fixed by the format): white space parts pre-tokens, and each is encoded by itself.
@@ -271,7 +273,7 @@ def encoded(text: Column, path: str) -> Column:
         ids = pa.array([np.fromstring(r[1], np.int32, sep=" ") if r[1] else [] for r in rows], pa.list_(pa.int32()))
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), ids, pa.array([r[2] for r in rows], pa.string())], ["n_tokens", "ids", "decoded"])
 
-    return F.arrow_udf(run, kind)(text)
+    return text_udf(run, kind)(text)
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -281,7 +283,7 @@ def decoded(ids: Column, path: str) -> Column:
         own = encoder(path)
         return pa.array([own.decode(r.as_py() or []) for r in rows], pa.string())
 
-    return F.arrow_udf(run, T.StringType())(ids)
+    return text_udf(run, T.StringType())(ids)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
@@ -302,4 +304,4 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
             decoded.append(hashlib.sha256(d.encode()).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", F.arrow_udf(run, kind)(F.col("text")).alias("e")).select("doc_id", "e.*")
+    return docs.select("doc_id", text_udf(run, kind)(F.col("text")).alias("e")).select("doc_id", "e.*")

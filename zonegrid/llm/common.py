@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of anything but ASCII white space, in Java's and DuckDB's regex syntax.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +21,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SALTS = 32
 #: Keys that are crowded, at most: those with more than one CROWDED-th of all rows.
 CROWDED = 1_000
+#: Bytes of a batch that goes to Python, and the setting that bounds it, with its default.
+BATCH, _BATCHES, _WIDE = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +49,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_udf(run: Callable[..., pa.Array], kind: T.DataType) -> Callable[..., Column]:
+    """An Arrow UDF whose batches hold about BATCH bytes: an executor's JVM and its Python workers each hold some at once.
+
+    The bound is a setting of the session and stays; one that the session has set itself is left alone.
+    """
+    spark = SparkSession.active()
+    if int(re.sub(r"\D", "", spark.conf.get(_BATCHES) or "0")) == _WIDE:
+        spark.conf.set(_BATCHES, str(BATCH))
+    return F.arrow_udf(run, kind)
+
+
 def join_small(rows: DataFrame, small: DataFrame, by: list[str], most: int, spread: Column, how: str = "inner") -> DataFrame:
     """rows joined with a table that is small as a rule, without dealing rows out by a key that may be crowded.
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonegrid.llm.common import fold, on_driver, raw_texts, sampled, sums_by_text
+from zonegrid.llm.common import fold, on_driver, raw_texts, sampled, sums_by_text, text_udf
 
 #: Bounds of the fit: texts and bytes of a language, and texts in all (beyond it languages have fewer, LEAST at least).
 TEXTS, BYTES, ALL, LEAST = 600, 4 << 20, 60_000, 20
@@ -178,7 +178,7 @@ def language(model: Model | None, docs: DataFrame, text: Column) -> Column:
         names, score = held.value.predict(texts)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], ["lang_pred", "score"])
 
-    return F.arrow_udf(predict, kind)(text)
+    return text_udf(predict, kind)(text)
 
 
 def identify(docs: DataFrame, mod: int = 3, held: int = 1) -> DataFrame:

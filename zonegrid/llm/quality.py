@@ -14,14 +14,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonegrid.llm.common import cut_lineage, labelled, platt, raw_texts
+from zonegrid.llm.common import cut_lineage, labelled, platt, raw_texts, text_udf
 
 #: Bounds of the fit: labelled documents of either label, and their bytes.
 LABELLED, BYTES = 2_000, 48 << 20
@@ -175,13 +174,13 @@ def _apply(model: Model, docs: DataFrame, kind: T.DataType, finish, text: Column
         out = [np.zeros((0, 2)), *(held.value.logits(*(a.slice(i, 64) for a in (texts, langs, sources, stated))) for i in range(0, len(texts), 64))]
         return finish(held.value, np.concatenate(out))
 
-    return F.arrow_udf(rate, kind)(text, lang, source, stated.cast("double"))
+    return text_udf(rate, kind)(text, lang, source, stated.cast("double"))
 
 
 _COLUMNS = ("text", "lang", "source", "n_chars")
 
 
-def sure_of(model: Model, docs: DataFrame, known: DataFrame, given: int, taken: list[list[int]]) -> pd.DataFrame:
+def sure_of(model: Model, docs: DataFrame, known: DataFrame, given: int, taken: list[list[int]]) -> list[tuple[int, int, int]]:
     """(h, teacher, label): for either view and label, the `given` documents least by hash of all that it is sure of, that have no label and that the other view has not learned from.
 
     h is the hash of a document's text and metadata, so equal documents count as one.
@@ -200,7 +199,7 @@ def sure_of(model: Model, docs: DataFrame, known: DataFrame, given: int, taken:
             sure = F.col(f"z{teacher}") >= limit if label else F.col(f"z{teacher}") <= -limit
             rows = free.where(sure & ~F.col("h").isin(taken[1 - teacher])).groupBy("h").agg(F.lit(1)).orderBy("h").limit(given)
             found += [(r["h"], teacher, label) for r in rows.collect()]
-    return pd.DataFrame(found, columns=["h", "teacher", "label"])
+    return found
 
 
 def _hash() -> Column:
@@ -227,17 +226,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, rounds: int =
     taken: list[list[int]] = [[], []]
     for _ in range(rounds):
         sure = sure_of(model, own, known, given, taken)
-        if not len(sure):
+        if not sure:
             break
-        keys = own.sparkSession.createDataFrame(sure[["h"]].drop_duplicates())  # at most 4 * given hashes
+        keys = own.sparkSession.createDataFrame(sorted({(h,) for h, _, _ in sure}), "h long")  # at most 4 * given hashes
         rows = own.withColumn("h", _hash()).where(F.octet_length(F.coalesce("text", F.lit(""))) <= BYTES // given)
         rows = rows.join(F.broadcast(keys), "h").groupBy("h").agg(*[F.first(c).alias(c) for c in _COLUMNS]).toArrow().sort_by("h")
         place, views = {h: i for i, h in enumerate(rows["h"].to_pylist())}, _views(rows)
         lessons = []
         for learner in (0, 1):
-            own_rows = sure[(sure.teacher == 1 - learner) & sure.h.isin(place)]
-            taken[learner] += own_rows.h.tolist()
-            lessons.append((views[learner][[place[h] for h in own_rows.h]], own_rows.label.to_numpy(np.float64)))
+            told = [(h, label) for h, teacher, label in sure if teacher == 1 - learner and h in place]
+            taken[learner] += [h for h, _ in told]
+            lessons.append((views[learner][[place[h] for h, _ in told]], np.array([label for _, label in told], np.float64)))
         model.learn(lessons)
     return model
 

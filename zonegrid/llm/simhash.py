@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonegrid.llm.common import SALTS, components, cut_lineage, join_crowded, raw_texts, spare_name, union_all
+from zonegrid.llm.common import SALTS, components, cut_lineage, join_crowded, raw_texts, spare_name, text_udf, union_all
 
 SEED = 42
 #: Signatures shared by more fingerprints than this link through two-wildcard keys; pairs would cost more.
 PAIRED = 128
+#: Fingerprints that a task turns into signatures, 64 of each.
+SIGNED = 25_000
 _LOW = 0xFFFFFFFF
 #: One byte to eight one-byte lanes of its bits: at most 255 of these add up without overflow.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
@@ -78,7 +80,7 @@ def fingerprint(text: Column) -> Column:
     A-Z are lower-cased, words are runs of anything but ASCII white space, fewer than three words are
     one shingle; a bit is set if over half of the shingles' XXH64 (seed 42) have it.
     """
-    return F.arrow_udf(_fingerprints, T.LongType())(text)
+    return text_udf(_fingerprints, T.LongType())(text)
 
 
 def _signatures(fps: DataFrame) -> DataFrame:
@@ -97,6 +99,8 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
     fps has distinct longs fp. Signatures of at most `paired` fingerprints give all their pairs.
     """
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
+    tasks = min(-(-fps.count() // SIGNED), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fps = fps.repartition(max(1, tasks), "fp")  # a few small partitions would be few large tasks, 64 times as large
     buckets = cut_lineage(_signatures(fps).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     two = buckets.where("n = 2").select("a", "b").where(near)
     members = _signatures(fps).join(buckets.where("n > 2").select("key", "n"), "key")

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonegrid.llm.common import text_udf
+
 #: Pre-tokens of a new leaf, and of one that is split; characters read at a time in search of an old cut; characters looked at behind a match.
 LEAF, FULL, READ, AHEAD = 32, 128, 256, 3
 #: Pre-tokens whose counts a task keeps.
@@ -256,7 +258,7 @@ def counted(text: Column, path: str, edits: Column | None = None) -> Column:
     def edited(texts: pa.Array, given: pa.Array) -> pa.Array:
         return tell(texts, given)
 
-    return F.arrow_udf(redacted, KIND)(text) if edits is None else F.arrow_udf(edited, KIND)(text, edits)
+    return text_udf(redacted, KIND)(text) if edits is None else text_udf(edited, KIND)(text, edits)
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
@@ -280,7 +282,7 @@ def trees(docs: DataFrame, path: str) -> DataFrame:
         own = _counter(path)
         return pa.array([Tree(t.as_py() or "", own).row() for t in texts], _TREE)
 
-    return _with_counts(docs.select("doc_id", F.arrow_udf(build, TREE)(F.col("text")).alias("tree")))
+    return _with_counts(docs.select("doc_id", text_udf(build, TREE)(F.col("text")).alias("tree")))
 
 
 def edited(kept: DataFrame, edits: DataFrame, path: str) -> DataFrame:
@@ -308,7 +310,7 @@ def edited(kept: DataFrame, edits: DataFrame, path: str) -> DataFrame:
         return pa.array(out, pa.struct([("tree", _TREE), ("n_encoded", pa.int64())]))
 
     touched = F.when(F.col("edits").isNotNull(), F.col("tree"))
-    new = kept.select("doc_id", "tree").join(by_doc, "doc_id", "left").withColumn("new", F.arrow_udf(renew, kind)(touched, F.col("edits")))
+    new = kept.select("doc_id", "tree").join(by_doc, "doc_id", "left").withColumn("new", text_udf(renew, kind)(touched, F.col("edits")))
     return _with_counts(new.select("doc_id", F.coalesce("new.tree", "tree").alias("tree"), F.coalesce("new.n_encoded", F.lit(0)).alias("n_encoded")))
 
 

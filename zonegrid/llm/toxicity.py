@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonegrid.llm.common import fold, labelled, platt
+from zonegrid.llm.common import fold, labelled, platt, text_udf
 
 #: Bounds of the fit: labelled documents of either label, and their bytes.
 LABELLED, BYTES = 4_000, 64 << 20
@@ -241,7 +241,7 @@ def score(net: Network | None, docs: DataFrame, text: Column) -> Column:
     def rate(texts: pa.Array) -> pa.Array:
         return pa.array(held.value.score(texts, words), pa.float64())
 
-    return F.arrow_udf(rate, T.DoubleType())(text)
+    return text_udf(rate, T.DoubleType())(text)
 
 
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:
