@@ -89,3 +89,17 @@ def test_keep_one(odd_docs, no_docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "6", "7", "8", "9", "None"]
     assert kept.where("doc_id = 3").first()["text"] is None
     assert simhash.keep_one(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("held", [10, 100_000])
+def test_components_of_few_edges_need_few_jobs(spark, held):
+    """A long chain, a star and repeated edges: joined by one task without rounds, and by many tasks and rounds alike."""
+    edges = [(i, i + 1) for i in range(1, 3000)] + [(5000, 5000 + i) for i in range(1, 300)] * 2 + [(-7, 9000), (8000, 8000)]
+    random.Random(2).shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    spark.sparkContext.setJobGroup(f"held {held}", "")
+    got = {r["node"]: r["root"] for r in components(df, held).collect()}
+    spark.sparkContext.setJobGroup("", "")
+    assert got == {i: 1 for i in range(1, 3001)} | {i: 5000 for i in range(5000, 5300)} | {-7: -7, 9000: -7}
+    if held > len(edges):
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"held {held}")) < 20

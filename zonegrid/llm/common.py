@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -21,6 +21,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SALTS = 32
 #: Keys that are crowded, at most: those with more than one CROWDED-th of all rows.
 CROWDED = 1_000
+#: Edges whose components a task finds by itself.
+HELD = 100_000
 #: Bytes of a batch that goes to Python, and the setting that bounds it, with its default.
 BATCH, _BATCHES, _WIDE = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
@@ -114,10 +116,34 @@ def sums_by_text(values: np.ndarray, starts: np.ndarray, first: int, into: np.nd
         into[rows[full]] += np.add.reduceat(values, cuts[full], axis=0)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the smallest node that can be reached.
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) from every node of a task's edges to the least node that they reach."""
+    least: dict[int, int] = {}
 
-    Alternates large-star and small-star until nothing changes; each round is a map-side combined
+    def find(x: int) -> int:
+        root = x
+        while (up := least.setdefault(root, root)) != root:
+            root = up
+        while x != root:
+            least[x], x = root, least[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist()):
+            a, b = find(a), find(b)
+            least[max(a, b)] = min(a, b)
+    pairs = [(x, root) for x in least if (root := find(x)) != x]
+    for i in range(0, len(pairs), 1 << 16):
+        a, b = zip(*pairs[i : i + (1 << 16)])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def components(edges: DataFrame, held: int = HELD) -> DataFrame:
+    """(node, root) for every node of edges (a, b), longs: root is the smallest node that can be reached.
+
+    Tasks of about `held` edges first join what their own edges connect; one such task is all that few edges
+    need, so the driver has a handful of stages to plan and not dozens. What several tasks leave is joined by
+    alternating large-star and small-star until nothing changes; each round is a map-side combined
     minimum and an equi-join, so a node with very many edges meets no single task, and each round's
     edges go to the checkpoint folder. Self-loops and repeated edges are allowed; no edges give no rows.
     """
@@ -125,8 +151,10 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    e = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    last = mark(e)
+    e = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"))
+    tasks = -(-e.count() // held)
+    e = cut_lineage(e.coalesce(max(1, tasks)).mapInArrow(_joined, "a long, b long"))
+    last = mark(e) if tasks > 1 else (0, None)
     while last[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
