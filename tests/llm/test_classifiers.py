@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -296,3 +297,16 @@ def test_views_by_hand():
     assert meta[:, : 2 * quality.NAMES].sum(1).tolist() == [2, 2, 2, 2] and meta[:, 2 * quality.NAMES : -4].argmax(1).tolist() == [3, 0, 2, 0]
     content = quality.content_view(texts)
     assert math.isclose((content[0, : quality.BUCKETS] ** 2).sum(), 1, rel_tol=1e-5) and not content[1:].any()
+
+
+def test_views_of_a_sample_take_little_room():
+    """The driver turns a sample of texts into rows a few at a time, one long text too, as if they came one by one."""
+    texts = [f"text {i} of a line\n" * 3_000 for i in range(200)] + ["long words " * 300_000, "", None]
+    t = pa.table({"text": texts, "lang": ["en"] * 203, "source": ["s"] * 203, "n_chars": [1.0] * 203})
+    tracemalloc.start()
+    content, _ = quality._views(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * t.nbytes
+    for i in (0, 63, 64, 199, 200, 201, 202):
+        assert (content[i] == quality.content_view(pa.array([texts[i]], pa.string()))[0]).all()

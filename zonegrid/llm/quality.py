@@ -29,7 +29,18 @@ ROUNDS, GIVEN, SURE = 3, 200, 0.97
 BUCKETS, FIGURES, NAMES, SIZES = 2048, 8, 256, 40
 #: Documents scored at least so high are accepted.
 ACCEPT = 0.5
-_BLOCK = 1 << 20
+#: Bytes hashed, and documents turned into rows, at once.
+_BLOCK, _AT_ONCE = 1 << 18, 64
+
+
+def _trigrams(data: np.ndarray) -> np.ndarray:
+    """The bucket of the trigram at each byte, made block by block: a byte's temporary numbers take twenty times its room."""
+    out = np.empty(max(0, len(data) - 2), np.uint16)
+    for at in range(0, len(out), _BLOCK):
+        a, b, c = (data[at + i : min(at + _BLOCK, len(out)) + i].astype(np.uint32) for i in range(3))
+        code = a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77) ^ c * np.uint32(0xC2B2AE3D)
+        out[at : at + _BLOCK] = ((code ^ code >> np.uint32(15)) * np.uint32(0x2C1B3C6D)) >> np.uint32(21)
+    return out
 
 
 def content_view(texts: pa.Array) -> np.ndarray:
@@ -37,12 +48,11 @@ def content_view(texts: pa.Array) -> np.ndarray:
     data, offsets = raw_texts(texts)
     n = len(offsets) - 1
     out = np.zeros((n, BUCKETS + FIGURES), np.float32)
-    code = (data[:-2].astype(np.uint32) * 0x9E3779B1 ^ data[1:-1].astype(np.uint32) * 0x85EBCA77 ^ data[2:].astype(np.uint32) * 0xC2B2AE3D) if len(data) > 2 else np.zeros(0, np.uint32)
-    code = ((code ^ code >> 15) * np.uint32(0x2C1B3C6D)) >> np.uint32(21)
+    code = _trigrams(data)
     for i in range(n):
         grams = code[offsets[i] : max(offsets[i], offsets[i + 1] - 2)]
         if len(grams):
-            share = np.bincount(grams, minlength=BUCKETS) / len(grams)
+            share = sum(np.bincount(grams[k : k + _BLOCK], minlength=BUCKETS) for k in range(0, len(grams), _BLOCK)) / len(grams)
             out[i, :BUCKETS] = np.sqrt(share)
             text = data[offsets[i] : offsets[i + 1]].tobytes()
             lines, words = text.split(b"\n"), text.split()
@@ -67,14 +77,14 @@ def metadata_view(langs: pa.Array, sources: pa.Array, stated: pa.Array) -> np.nd
 
 
 class Logistic:
-    """Logistic regression by full-batch Adam, on standardised columns with an L2 penalty."""
+    """Logistic regression by full-batch Adam, on standardised columns with an L2 penalty. With `spent`, float32 rows x are standardised in place."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 250, l2: float = 1e-3, start: Logistic | None = None) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 250, l2: float = 1e-3, start: Logistic | None = None, spent: bool = False) -> None:
         w = np.ones(len(y)) if weight is None else weight
         w = (w / w.sum()).astype(np.float32)
         self.mean = w @ x
         self.scale = 1 / np.sqrt(np.maximum(np.einsum("i,ij,ij->j", w, x, x) - self.mean**2, 0) + 1e-4)
-        z = np.subtract(x, self.mean, dtype=np.float32)  # the only copy of x
+        z = np.subtract(x, self.mean, dtype=np.float32, out=x if spent else None)  # the only copy of x
         z *= self.scale.astype(np.float32)
         beta, m, v = np.zeros(x.shape[1] + 1, np.float32), 0.0, 0.0
         if start is not None:
@@ -96,8 +106,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _views(t: pa.Table) -> list[np.ndarray]:
-    text, *others = [t[c].combine_chunks() if t.num_rows else pa.array([], t.schema.field(c).type) for c in ("text", "lang", "source", "n_chars")]
-    return [content_view(text), metadata_view(*others)]
+    """Both views of a table's rows, a few documents at a time."""
+    content = np.zeros((t.num_rows, BUCKETS + FIGURES), np.float32)
+    for i in range(0, t.num_rows, _AT_ONCE):
+        content[i : i + _AT_ONCE] = content_view(t["text"].slice(i, _AT_ONCE).combine_chunks())
+    others = [t[c].combine_chunks() if t.num_rows else pa.array([], t.schema.field(c).type) for c in ("lang", "source", "n_chars")]
+    return [content, metadata_view(*others)]
 
 
 class Model:
@@ -138,7 +152,12 @@ class Model:
         views, y, weight, _ = self._labelled
         more = self._given[v]
         w = np.concatenate([weight[rows], *(np.full(len(t), 0.5 * weight.mean()) for _, t in more)])
-        return Logistic(np.concatenate([views[v][rows], *(x for x, _ in more)]), np.concatenate([y[rows], *(t for _, t in more)]), w, 80 if start else 250, start=start)
+        x, n = np.empty((len(w), views[v].shape[1]), np.float32), int(rows.sum())
+        np.take(views[v], np.flatnonzero(rows), axis=0, out=x[:n], mode="clip")  # the other mode makes a second copy
+        for held, _ in more:
+            x[n : n + len(held)] = held
+            n += len(held)
+        return Logistic(x, np.concatenate([y[rows], *(t for _, t in more)]), w, 80 if start else 250, start=start, spent=True)
 
     def _aside_logits(self) -> np.ndarray | None:
         """Both views' logits of labelled documents that they were not trained on: those aside or, where there are none, by halves; None with under two of a label."""
@@ -171,7 +190,7 @@ def _apply(model: Model, docs: DataFrame, kind: T.DataType, finish, text: Column
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(texts: pa.Array, langs: pa.Array, sources: pa.Array, stated: pa.Array) -> pa.Array:
-        out = [np.zeros((0, 2)), *(held.value.logits(*(a.slice(i, 64) for a in (texts, langs, sources, stated))) for i in range(0, len(texts), 64))]
+        out = [np.zeros((0, 2)), *(held.value.logits(*(a.slice(i, _AT_ONCE) for a in (texts, langs, sources, stated))) for i in range(0, len(texts), _AT_ONCE))]
         return finish(held.value, np.concatenate(out))
 
     return text_udf(rate, kind)(text, lang, source, stated.cast("double"))
@@ -223,6 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, rounds: int =
     weight = np.array([counts[k] / (y == k).sum() for k in y])
     aside = np.array([zlib.crc32(b"aside%d" % i) % 3 == 0 for i in sample["doc_id"].to_pylist()])
     model = Model(_views(sample), y, np.sqrt(weight / weight.mean()), aside)
+    del sample
+    pa.default_memory_pool().release_unused()  # the texts have served, and the driver's memory is small
     taken: list[list[int]] = [[], []]
     for _ in range(rounds):
         sure = sure_of(model, own, known, given, taken)
