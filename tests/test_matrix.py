@@ -267,6 +267,17 @@ def test_ingest_missing(spark):
         ODMatrix.from_dataframe(df, IngestOptions(on_missing_od="ignore"))
 
 
+def test_ingest_more_zones_than_files_hold(spark, tmp_path):
+    """A relation may name any zone; only a file's zones are bounded, and a zone count that is asked for."""
+    df = frame(spark, [("1", "2", "1"), ("60000", "7", "2")])
+    m = ODMatrix.from_dataframe(df, IngestOptions(on_missing_od="ignore"))
+    assert m.zone_count == 60_000 and sorted(map(tuple, m.frame.collect())) == [(1, 2, 1.0), (60_000, 7, 2.0)]
+    assert kind(lambda: m.write(str(tmp_path / "a.mat"))) == "invalid_zone_count" and kind(m.to_bytes) == "invalid_zone_count"
+    assert kind(lambda: ODMatrix.from_dataframe(df, IngestOptions(zone_count=60_000))) == "invalid_zone_count"
+    with pytest.warns(ODWarning, match=r"3599999998 of 3600000000 pairs are missing, such as \(1, 1\), \(1, 3\)"):
+        ODMatrix.from_dataframe(df)
+
+
 @pytest.mark.parametrize("options, wanted", [
     (IngestOptions("A"), "invalid_od"), (IngestOptions("", "D"), "invalid_od"), (IngestOptions("Origin", "Origin"), "invalid_od"),
     (IngestOptions(zone_base=2), "invalid_od"), (IngestOptions(zone_base=True), "invalid_od"), (IngestOptions(zone_count=0), "invalid_zone_count"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from zonegrid.errors import ODWarning, od_error
 from zonegrid.functions.cells import any_nonzero, quoted
-from zonegrid.header import DEFAULT_BANNER, DEFAULT_RUN_ID, ODHeader, TableInfo, table_infos, type_code
+from zonegrid.header import DEFAULT_BANNER, DEFAULT_RUN_ID, MOST_ZONES, ODHeader, TableInfo, table_infos, type_code
 from zonegrid.operators.reshape import KEYS, checked_base, grid
 
 PREVIEW = 8
@@ -170,12 +170,15 @@ def ingest(df: DataFrame, options: IngestOptions = IngestOptions()) -> tuple[ODH
             twice = pairs.where("_n > 1").select(*KEYS).orderBy(*KEYS).limit(PREVIEW + 1).collect()
             shown = ", ".join(f"({r[0] - 1 + o.zone_base}, {r[1] - 1 + o.zone_base})" for r in twice[:PREVIEW])
             raise od_error("duplicate_od", f"pairs occur more than once: {shown}{', ...' if len(twice) > PREVIEW else ''}")
-    header = ODHeader(zones, tables, o.banner, o.run_id).checked()
+    # Files hold MOST_ZONES zones, a relation as many as its rows name: a write refuses what is beyond.
+    header = ODHeader(zones, tables, o.banner, o.run_id)
+    replace(header, zone_count=o.zone_count or min(zones, MOST_ZONES)).checked()
     missing = zones * zones - found["pairs"]
     if missing and o.on_missing_od != "ignore":
         message = f"{missing} of {zones * zones} pairs are missing"
         if o.on_missing_od == "warn" and o.missing_warning_limit > 0:
-            some = missing_pairs(pairs, zones).limit(o.missing_warning_limit).collect()
+            enough = found["pairs"] + o.missing_warning_limit  # of so many pairs, enough are missing
+            some = missing_pairs(pairs, min(zones, enough), min(zones, -(-enough // zones))).limit(o.missing_warning_limit).collect()
             message += ", such as " + ", ".join(f"({r[0] - 1 + o.zone_base}, {r[1] - 1 + o.zone_base})" for r in some)
         if o.on_missing_od == "error":
             raise od_error("missing_od", message)
@@ -202,9 +205,9 @@ def duplicate_pairs(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
 
 
-def missing_pairs(rows: DataFrame, zones: int) -> DataFrame:
-    """The pairs of zones that rows don't have, in order."""
-    return grid(rows.sparkSession, zones).join(rows.select(*KEYS), KEYS, "left_anti").orderBy(*KEYS)
+def missing_pairs(rows: DataFrame, zones: int, origins: int | None = None) -> DataFrame:
+    """The pairs of zones that rows don't have, in order; of the first `origins` alone, if told."""
+    return grid(rows.sparkSession, zones, origins).join(rows.select(*KEYS), KEYS, "left_anti").orderBy(*KEYS)
 
 
 def inferred_zones(rows: DataFrame) -> DataFrame:

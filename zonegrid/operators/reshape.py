@@ -20,10 +20,10 @@ KEYS = ["Origin", "Destination"]
 AUTO_ZEROS = 200_000
 
 
-def grid(spark: SparkSession, zones: int) -> DataFrame:
-    """All pairs of zones, made in parallel."""
+def grid(spark: SparkSession, zones: int, origins: int | None = None) -> DataFrame:
+    """All pairs of zones, or those of the first `origins`, made in parallel."""
     every = F.sequence(F.lit(1).cast("long"), F.lit(zones).cast("long"))
-    return spark.range(1, zones + 1).select(F.col("id").alias("Origin"), F.explode(every).alias("Destination"))
+    return spark.range(1, (zones if origins is None else origins) + 1).select(F.col("id").alias("Origin"), F.explode(every).alias("Destination"))
 
 
 def densify(wide: DataFrame, zones: int) -> DataFrame:
