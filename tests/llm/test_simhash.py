@@ -103,3 +103,50 @@ def test_components_of_few_edges_need_few_jobs(spark, held):
     assert got == {i: 1 for i in range(1, 3001)} | {i: 5000 for i in range(5000, 5300)} | {-7: -7, 9000: -7}
     if held > len(edges):
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"held {held}")) < 20
+
+
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+def test_every_pair_of_bits(spark):
+    """One family for each one or two bits that differ, and as many that differ in three: no link is lost, none is made up."""
+    g = random.Random(3)
+    masks = [1 << i | 1 << j for i in range(64) for j in range(i, 64)]
+    near = [(f := g.getrandbits(64), f ^ m) for m in masks]
+    apart = [(f := g.getrandbits(64), f ^ sum(1 << b for b in g.sample(range(64), 3))) for _ in masks]
+    df = spark.createDataFrame([(signed(f),) for pair in near + apart for f in pair], "fp long")
+    got = sorted(tuple(sorted((r["a"], r["b"]))) for r in simhash.links(df).collect())
+    assert got == sorted(tuple(sorted(map(signed, pair))) for pair in near)
+
+
+def test_crowded_signatures_and_halves(spark):
+    """Large signatures in halves that few share, and halves that many share, each with all its links."""
+    g = random.Random(4)
+    families = []
+    for _ in range(900):
+        base = g.getrandbits(64)
+        families.append({base, *(base ^ 1 << b for b in g.sample(range(64), 4))})
+    same = [g.getrandbits(16) << 16 * h for h in range(4)]
+    for i in range(400):
+        h = i % 4
+        base = g.getrandbits(64) & ~(0xFFFF << 16 * h) | same[h]
+        families.append({base, base ^ 1 << g.randrange(64) ^ 1 << g.randrange(64)})
+    df = spark.createDataFrame([(signed(f),) for family in families for f in family], "fp long")
+    roots = {r["node"]: r["root"] for r in components(simhash.links(df, 2)).collect()}
+    got = {signed(f): roots.get(signed(f), signed(f)) for family in families for f in family}
+    assert got == {signed(f): min(map(signed, family)) for family in families for f in family}
+
+
+def test_few_rows_move_for_a_fingerprint(spark):
+    """Fingerprints are dealt out by their halves, not by their 64 signatures."""
+    n = 60_000
+    df = spark.range(n).selectExpr("xxhash64(id) AS fp")
+    spark.sparkContext.setJobGroup("moved", "")
+    assert simhash.links(df).count() == 0
+    spark.sparkContext.setJobGroup("", "")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for job in tracker.getJobIdsForGroup("moved") for s in tracker.getJobInfo(job).stageIds}
+    ran = [store.lastStageAttempt(s) for s in stages if tracker.getStageInfo(s) is not None]
+    assert 4 * n <= sum(s.shuffleWriteRecords() for s in ran) <= 10 * n

@@ -3,7 +3,10 @@
 A 64-bit fingerprint is cut into two 32-bit segments. Fingerprints that differ in at most two bits
 have a segment that differs in at most one, so they agree on that segment with one bit left out:
 each distinct fingerprint is indexed under its 64 one-wildcard segments, equal signatures are
-joined and the pairs verified. A signature that very many fingerprints share (a family of close
+joined and the pairs verified. A wildcard leaves the other half of its segment whole, so fingerprints
+are dealt out four times, by each 16-bit half, and a task makes and joins the 16 signatures that
+agree there: 4 rows move for a fingerprint and not 64. Only where very many share a half are their
+signatures dealt out one by one. A signature that very many fingerprints share (a family of close
 copies, or an adversary) is not paired off: its members are indexed once under their 2016
 two-wildcard fingerprints, where an equal key alone proves a link, and each key links its members
 to its smallest one. So no link is lost, and work stays in proportion to the fingerprints.
@@ -11,6 +14,7 @@ to its smallest one. So no link is lost, and work stays in proportion to the fin
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,13 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonegrid.llm.common import SALTS, components, cut_lineage, join_crowded, raw_texts, spare_name, text_udf, union_all
+from zonegrid.llm.common import CROWDED, SALTS, components, cut_lineage, join_crowded, raw_texts, spare_name, text_udf, union_all
 
 SEED = 42
 #: Signatures shared by more fingerprints than this link through two-wildcard keys; pairs would cost more.
 PAIRED = 128
-#: Fingerprints that a task turns into signatures, 64 of each.
-SIGNED = 25_000
+#: Rows (a fingerprint by a half) whose signatures a task joins, as far as the session's partitions go, and the mean at most.
+JOINED, MOST = 50_000, 1_000_000
+#: Rows that a task turns into signatures to be dealt out, 16 of each.
+SIGNED = 100_000
 _LOW = 0xFFFFFFFF
 #: One byte to eight one-byte lanes of its bits: at most 255 of these add up without overflow.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
@@ -83,10 +89,66 @@ def fingerprint(text: Column) -> Column:
     return text_udf(_fingerprints, T.LongType())(text)
 
 
-def _signatures(fps: DataFrame) -> DataFrame:
-    low, high = F.col("fp").bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned("fp", 32)
-    keys = [(low if v < 32 else high).bitwiseAND(F.lit(_LOW & ~(1 << v % 32))).bitwiseOR(F.lit(v << 32)) for v in range(64)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+def _halved(fps: DataFrame) -> DataFrame:
+    """(fp, part) by each 16-bit half of fp: part is the half's place (0 is lowest) above its bits."""
+    parts = [F.shiftrightunsigned("fp", 16 * h).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(h << 16)).cast("int") for h in range(4)]
+    return fps.select("fp", F.explode(F.array(*parts)).alias("part"))
+
+
+def _signatures(halved: DataFrame) -> DataFrame:
+    """(fp, key): fp's segment around the half, with one bit of the segment's other half left out."""
+    place = F.shiftright("part", 16)
+    segment = F.when(place < 2, F.col("fp").bitwiseAND(F.lit(_LOW))).otherwise(F.shiftrightunsigned("fp", 32))
+
+    def keys(h: int) -> Column:
+        return F.array(*[segment.bitwiseAND(F.lit(_LOW & ~(1 << v % 32))).bitwiseOR(F.lit(v << 32)) for v in _wild(h)])
+
+    return halved.select("fp", F.explode(F.when(place == 0, keys(0)).when(place == 1, keys(1)).when(place == 2, keys(2)).otherwise(keys(3))).alias("key"))
+
+
+def _wild(h: int) -> range:
+    """The bits that signatures with a whole half h leave out: those of the segment's other half."""
+    return range(16 * (h ^ 1), 16 * (h ^ 1) + 16)
+
+
+def _matched(batches: Iterable[pa.RecordBatch], paired: int) -> Iterator[pa.RecordBatch]:
+    """Near pairs (a, b) among halved rows that agree in a signature, a < b; (a, a) for each member of one that more than `paired` share.
+
+    A pair comes from the signature that leaves out the bit in which its segments differ, or else the segment's first.
+    """
+    batches = list(batches)
+    if not batches:
+        return
+    rows = pa.Table.from_batches(batches)
+    fps, place = rows["fp"].to_numpy().view(np.uint64), rows["part"].to_numpy() >> 16
+    for h in range(4):
+        own = fps[place == h]
+        segment = (own >> np.uint64(32 * (h // 2))).astype(np.uint32)
+        for v in _wild(h):
+            keys = segment & np.uint32(_LOW & ~(1 << v % 32))
+            order = np.argsort(keys)
+            keys = keys[order]
+            firsts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
+            sizes = np.diff(np.append(firsts, len(keys)))
+            shared = np.repeat(sizes, sizes)
+            many = own[order[shared > paired]]
+            found = [(many, many)]
+            some = (shared > 1) & (shared <= paired)
+            keys, members = keys[some], own[order[some]]
+            left, step = np.arange(len(keys)), 0
+            while len(left):
+                step += 1
+                left = left[left + step < len(keys)]
+                left = left[keys[left] == keys[left + step]]
+                x, y = members[left], members[left + step]
+                differ = x ^ y
+                within = differ >> np.uint64(32 * (h // 2)) & np.uint64(_LOW)
+                near = (np.bitwise_count(differ) <= 2) & ((within != 0) | (v % 32 == 0))
+                x, y = x[near].view(np.int64), y[near].view(np.int64)
+                found.append((np.minimum(x, y), np.maximum(x, y)))
+            a, b = (np.concatenate([f[i].view(np.int64) for f in found]) for i in range(2))
+            for i in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 16)]), pa.array(b[i : i + (1 << 16)])], ["a", "b"])
 
 
 def _signed(x: int) -> int:
@@ -98,21 +160,37 @@ def links(fps: DataFrame, paired: int = PAIRED) -> DataFrame:
 
     fps has distinct longs fp. Signatures of at most `paired` fingerprints give all their pairs.
     """
+    halved, total = _halved(fps), fps.count()
+    shared = halved.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > paired) & (F.col("n") * CROWDED > F.lit(total)))
+    crowded = [r["part"] for r in shared.collect()]  # under CROWDED of each place
+    partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(-(-4 * total // JOINED), partitions), -(-4 * total // MOST))
+    rest = halved.where(~F.col("part").isin(crowded)) if crowded else halved
+    found = cut_lineage(rest.repartition(tasks, "part").mapInArrow(lambda batches: _matched(batches, paired), "a long, b long"))
+    pairs, many = [found.where("a <> b")], [found.where("a = b").select(F.col("a").alias("fp"))]
+    if crowded:
+        few, most = _dealt(halved.where(F.col("part").isin(crowded)), paired, partitions)
+        pairs, many = [*pairs, few], [*many, most]
+    masks = F.array(*[F.lit(_signed((1 << 64) - 1 & ~(1 << i | 1 << j))) for i, j in combinations(range(64), 2)])
+    wild = union_all(many).distinct().select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
+    hubs = wild.groupBy("k", "rest").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = wild.join(hubs, ["k", "rest"]).select(F.col("fp").alias("a"), "b").where("a <> b")
+    return union_all([*pairs, stars]).distinct()
+
+
+def _dealt(halved: DataFrame, paired: int, partitions: int) -> tuple[DataFrame, DataFrame]:
+    """Near pairs (a, b) and fingerprints (fp) of signatures that more than `paired` share, for halves too crowded for a task."""
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    tasks = min(-(-fps.count() // SIGNED), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    fps = fps.repartition(max(1, tasks), "fp")  # a few small partitions would be few large tasks, 64 times as large
-    buckets = cut_lineage(_signatures(fps).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    halved = cut_lineage(halved)
+    tasks = min(-(-halved.count() // SIGNED), partitions)
+    halved = halved.repartition(max(1, tasks), "fp", "part")  # a few small partitions would be few large tasks, 16 times as large
+    buckets = cut_lineage(_signatures(halved).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     two = buckets.where("n = 2").select("a", "b").where(near)
-    members = _signatures(fps).join(buckets.where("n > 2").select("key", "n"), "key")
+    members = _signatures(halved).join(buckets.where("n > 2").select("key", "n"), "key")
     members = cut_lineage(members)
     few = members.where(F.col("n") <= paired).select("key", F.col("fp").alias("a"))
     pairs = few.join(few.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b").where(near)
-    many = members.where(F.col("n") > paired).select("fp").distinct()
-    masks = F.array(*[F.lit(_signed((1 << 64) - 1 & ~(1 << i | 1 << j))) for i, j in combinations(range(64), 2)])
-    wild = many.select("fp", F.posexplode(masks).alias("k", "mask")).select("fp", "k", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
-    hubs = wild.groupBy("k", "rest").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = wild.join(hubs, ["k", "rest"]).select(F.col("fp").alias("a"), "b").where("a <> b")
-    return union_all([two, pairs, stars]).distinct()
+    return two.unionByName(pairs), members.where(F.col("n") > paired).select("fp")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
